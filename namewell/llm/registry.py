@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OPS = [
     ("packing", "op1_packing"),
+    ("piece_bpe", "op5_byte_bpe"),
     ("near_dup", "op7_near_duplicates"),
+    ("url_filter", "op9_url_filter"),
+    ("toxicity", "op10_toxicity"),
 ]
 
 
