@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OPS = [
     ("packing", "op1_packing"),
+    ("private", "op2_private"),
+    ("licences", "op3_licences"),
+    ("neighbours", "op4_neighbours"),
     ("piece_bpe", "op5_byte_bpe"),
+    ("language", "op6_language"),
     ("near_dup", "op7_near_duplicates"),
+    ("media", "op8_media"),
     ("url_filter", "op9_url_filter"),
     ("toxicity", "op10_toxicity"),
 ]
