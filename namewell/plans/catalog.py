@@ -1,15 +1,258 @@
-"""Registered queries over the driver's tables and the SQL that each must agree with."""
+"""Registered queries over the driver's tables and the SQL that each must agree with.
+
+Orders stand for publications, their lineitems for author positions and parts for the identities behind the names; two
+identities share each block.  Orders that are finished come a second time as references, without a title.  Every table
+is read whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from namewell.functions.names import ascii_fold, name_tokens, with_block_key
+from namewell.operators import core
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+EPS = 0.75
+
+_BASE = """
+pubs as (select lpad(cast(o_orderkey as varchar), 12, '0') as bibcode, o_orderkey as k, trim(o_orderpriority) as title, cast(year(o_orderdate) as int) as year from orders),
+lines as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as author_idx from lineitem),
+mentions as (select bibcode || '::' || author_idx as mention_id, bibcode, author_idx, year,
+  case l_linenumber % 3 when 0 then 'Naám' || (l_partkey // 2) || ', ' || g when 1 then g || ' Naám' || (l_partkey // 2) else left(g, 1) || '. Naám' || (l_partkey // 2) end as author_raw,
+  'o' || l_partkey as orcid, l_shipmode_free as aff
+  from (select *, case when l_partkey % 2 = 0 then 'Jörg' else 'Jane' end as g, l_returnflag as l_shipmode_free from lines) join pubs on l_orderkey = k),
+keyed as (select *, lower(left(case when contains(author_raw, ',') then trim(split_part(author_raw, ',', 2)) else author_raw end, 1)) || '.' ||
+  lower(strip_accents(case when contains(author_raw, ',') then split_part(author_raw, ',', 1) else split_part(author_raw, ' ', 2) end)) as block_key from mentions),
+tok as (select *, split_part(block_key, '.', 2) as surname, lower(strip_accents(replace(case when contains(author_raw, ',') then trim(split_part(author_raw, ',', 2)) else split_part(author_raw, ' ', 1) end, '.', ''))) as given from keyed),
+blocks as (select block_key, count(*) as n_mentions, cast(count(*) * (count(*) - 1) // 2 as bigint) as pair_bound from keyed group by 1),
+pairs as (select a.block_key, a.mention_id as m1, b.mention_id as m2, a.orcid as o1, b.orcid as o2, a.year as y1, b.year as y2, a.given as g1, b.given as g2 from tok a join tok b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode <> b.bibcode)
+"""
+_VEC = f"""
+v as (select vec_id, label, embedding from embeddings),
+scores as (select a.label as block_key, a.vec_id as src, b.vec_id as dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine_sim from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
+edges as (select block_key, src, dst from scores where 1 - cosine_sim <= {EPS})
+"""
+
+
+def query(name: str, sql: str, base: str = _BASE):
+    def keep(fn):
+        _Q[name] = fn
+        _SQL[name] = f"with recursive {base}{sql}" if sql.lstrip().startswith(",") else f"with {base} {sql}"
+        return fn
+
+    return keep
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pubs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("bibcode"), F.col("o_orderkey").alias("k"), F.trim("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"), "o_orderstatus")
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = _table(spark, d, "lineitem").withColumn("author_idx", (F.row_number().over(order) - 1).cast("long"))
+    g, s = F.when(F.col("l_partkey") % 2 == 0, "Jörg").otherwise("Jane"), F.concat(F.lit("Naám"), F.expr("l_partkey div 2"))
+    raw = F.when(F.col("l_linenumber") % 3 == 0, F.concat(s, F.lit(", "), g)).when(F.col("l_linenumber") % 3 == 1, F.concat(g, F.lit(" "), s)).otherwise(F.concat(F.substring(g, 1, 1), F.lit(". "), s))
+    return lines.join(_pubs(spark, d), F.col("l_orderkey") == F.col("k")).select(F.concat_ws("::", "bibcode", "author_idx").alias("mention_id"), "bibcode", "author_idx", "year", raw.alias("author_raw"), F.concat(F.lit("o"), "l_partkey").alias("orcid"), F.col("l_returnflag").alias("aff"))
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return with_block_key(_mentions(spark, d))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    m = _keyed(spark, d)
+    names = m.select("author_raw").distinct().select(F.col("author_raw").alias("_r"), name_tokens(ascii_fold("author_raw")).alias("t"))
+    return m.join(names, F.col("author_raw") == F.col("_r")).select("mention_id", "bibcode", "year", "orcid", "block_key", "author_raw", F.col("t.given").alias("given"), F.col("t.surname").alias("surname"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return core.candidate_pairs(_tokens(spark, d), ["orcid", "year", "given", "surname"])
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    p = _pubs(spark, d)
+    none = F.lit(None).cast("array<string>")
+    pub = p.select("bibcode", "title", F.lit("").alias("abstract"), F.lit(None).cast("int").alias("year"), none.alias("aff"), F.array(F.lit("a")).alias("authors"), F.lit("publication").alias("source_type"), F.col("k").alias("source_row_idx"))
+    ref = p.where("o_orderstatus = 'F'").select("bibcode", F.lit("").alias("title"), F.lit("ref abstract").alias("abstract"), "year", none.alias("aff"), F.array(F.lit("b")).alias("authors"), F.lit("reference").alias("source_type"), F.col("k").alias("source_row_idx"))
+    return pub.unionByName(ref)
+
+
+@query("q01_source_normalize", "select bibcode, title, case when year between 1000 and 2500 then year end as year from pubs")
+def _(spark, d):
+    return _pubs(spark, d).select("bibcode", "title", F.when(F.col("year").between(1000, 2500), F.col("year")).alias("year"))
+
+
+@query("q02_author_split", "select bibcode, unnest(string_split(string_agg(replace(author_raw, ',', ''), ';' order by author_idx), ';')) as author_raw from mentions group by 1")
+def _(spark, d):
+    from namewell.sources.readers import split_names
+
+    line = _mentions(spark, d).groupBy("bibcode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.regexp_replace("author_raw", ",", "").alias("r")))), lambda x: x.r), "; ").alias("names"))
+    return line.select("bibcode", F.explode(split_names(F.col("names"))).alias("author_raw"))
+
+
+@query("q04_record_dedup", ", x as (select o_orderkey as k, o_orderstatus = 'F' as r from orders) select bibcode, title, case when r then 'ref abstract' else '' end as abstract, case when r then year end as year, case when r then 'publication+reference' else 'publication' end as source_type, 'publication' as canonical_source_type, k as canonical_source_row_idx, cast(case when r then 2 else 1 end as bigint) as n_rows from pubs join x using (k)")
+def _(spark, d):
+    return core.merge_records(_records(spark, d)).drop("aff", "authors")
+
+
+@query("q05_dedup_stats", "select cast((select count(*) from orders) + (select count(*) from orders where o_orderstatus = 'F') as bigint) as input_rows, (select count(*) from orders where o_orderstatus = 'F') as duplicate_rows, cast(2 as bigint) as max_per_key")
+def _(spark, d):
+    return core.merge_records(_records(spark, d)).agg(F.sum("n_rows").alias("input_rows"), F.sum(F.col("n_rows") - 1).alias("duplicate_rows"), F.max("n_rows").alias("max_per_key"))
+
+
+@query("q06_mentions", "select mention_id, bibcode, author_idx, author_raw, year, orcid, aff from mentions")
+def _(spark, d):
+    return _mentions(spark, d).select("mention_id", "bibcode", "author_idx", "author_raw", "year", "orcid", "aff")
+
+
+@query("q07_block_key", "select mention_id, block_key from keyed")
+def _(spark, d):
+    return _keyed(spark, d).select("mention_id", "block_key")
+
+
+@query("q08_block_stats", "select * from blocks")
+def _(spark, d):
+    return core.block_sizes(_keyed(spark, d))
+
+
+@query("q08b_block_summary", "select count(*) as n_blocks, max(n_mentions) as max_block, round(quantile_cont(n_mentions, 0.95), 4) as p95, round(avg(case when n_mentions = 1 then 1.0 else 0.0 end), 6) as singleton_ratio, cast(sum(pair_bound) as bigint) as pairs from blocks")
+def _(spark, d):
+    return core.block_sizes(_keyed(spark, d)).agg(F.count("*").alias("n_blocks"), F.max("n_mentions").alias("max_block"), F.round(F.percentile("n_mentions", 0.95), 4).alias("p95"), F.round(F.avg(F.when(F.col("n_mentions") == 1, 1.0).otherwise(0.0)), 6).alias("singleton_ratio"), F.sum("pair_bound").alias("pairs"))
+
+
+@query("q09_pairs", "select m1 || '__' || m2 as pair_id, block_key from pairs")
+def _(spark, d):
+    return _pairs(spark, d).select("pair_id", "block_key")
+
+
+@query("q11_pairs_labeled", "select block_key, cast(o1 = o2 as int) as label, count(*) as n from pairs group by all")
+def _(spark, d):
+    return _pairs(spark, d).select("block_key", core.pair_label(F.col("orcid_1"), F.col("orcid_2")).alias("label")).groupBy("block_key", "label").agg(F.count("*").alias("n"))
+
+
+@query("q13_split_label_counts", ", c as (select block_key, orcid, count(*) as n from keyed group by all) select block_key, cast(sum(n) * (sum(n) - 1) // 2 as bigint) as total, cast(sum(n * (n - 1) // 2) as bigint) as positive from c group by 1")
+def _(spark, d):
+    c = _keyed(spark, d).groupBy("block_key", "orcid").agg(F.count("*").alias("n"))
+    return c.groupBy("block_key").agg(F.expr("sum(n) * (sum(n) - 1) div 2").alias("total"), F.sum(F.expr("n * (n - 1) div 2")).alias("positive"))
+
+
+@query("q16_name_tokens", "select distinct author_raw, given, surname from tok")
+def _(spark, d):
+    return _tokens(spark, d).select("author_raw", "given", "surname").distinct()
+
+
+_CLASH = "case when g1 = '' or g2 = '' or g1 = g2 then false when left(g1, 1) <> left(g2, 1) then true when length(g1) <= 2 or length(g2) <= 2 then false when starts_with(g1, g2) or starts_with(g2, g1) then false else true end"
+
+
+@query("q17_name_conflict", f"select block_key, {_CLASH} as clash, count(*) as n from pairs group by all")
+def _(spark, d):
+    p = _pairs(spark, d)
+    return p.select("block_key", core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2")).alias("clash")).groupBy("block_key", "clash").agg(F.count("*").alias("n"))
+
+
+@query("q18_constraints", f"select block_key, round(sum(cast(case when {_CLASH} then 1.0 when abs(y1 - y2) > 3 then greatest(0.2, 0.65) else 0.2 end as double)), 4) as total, count(*) as n from pairs group by 1")
+def _(spark, d):
+    p = _pairs(spark, d)
+    clash = core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2"))
+    dist = core.constrained(F.lit(0.2), clash, core.year_gap(F.col("year_1"), F.col("year_2"), 3))
+    # name first, then year: a hard clash stays 1
+    return p.select("block_key", dist.alias("x")).groupBy("block_key").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
+
+
+@query("q20_block_eps", "select block_key, cast(case when n_mentions between 1 and 20 then 0.4 when n_mentions between 21 and 50 then 0.35 else 0.3 end as double) as eps from blocks")
+def _(spark, d):
+    return core.block_sizes(_keyed(spark, d)).select("block_key", F.round(core.block_eps(F.col("n_mentions"), 0.35, [(1, 20, 0.05), (21, 50, 0.0), (51, None, -0.05)]), 6).alias("eps"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    v = _table(spark, d, "embeddings")
+    a, b = v.select(F.col("label").alias("block_key"), F.col("vec_id").alias("src"), F.col("embedding").alias("ea")), v.select(F.col("label").alias("block_key"), F.col("vec_id").alias("dst"), F.col("embedding").alias("eb"))
+    return a.join(b, "block_key").where("src < dst").select("block_key", "src", "dst", F.round(core.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine_sim"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(f"1 - cosine_sim <= {EPS}").select("block_key", "src", "dst")
+
+
+@query("q14_pair_scores", "select block_key, src, dst, cosine_sim from scores", _VEC)
+def _(spark, d):
+    return _scores(spark, d)
+
+
+@query("q15_score_range", "select count(*) as n, count_if(abs(cosine_sim) > 1) as out_of_range, count_if(cosine_sim is null) as missing, round(min(cosine_sim), 5) as low, round(max(cosine_sim), 5) as high from scores", _VEC)
+def _(spark, d):
+    return _scores(spark, d).agg(F.count("*").alias("n"), F.count_if(F.abs("cosine_sim") > 1).alias("out_of_range"), F.count_if(F.col("cosine_sim").isNull()).alias("missing"), F.round(F.min("cosine_sim"), 5).alias("low"), F.round(F.max("cosine_sim"), 5).alias("high"))
+
+
+@query("q21_edges", "select * from edges", _VEC)
+def _(spark, d):
+    return _edges(spark, d)
+
+
+@query("q22_components", ", both_ways as (select block_key, src, dst from edges union all select block_key, dst, src from edges), reach(node, seen) as (select vec_id, vec_id from v union select r.node, b.dst from reach r join both_ways b on r.seen = b.src), least as (select node, min(seen) as root from reach group by 1) select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from least join v on vec_id = node", _VEC)
+def _(spark, d):
+    nodes = _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"))
+    return core.components(nodes, _edges(spark, d))
+
+
+@query("q25_entities", ", c as (select orcid, author_raw, count(*) as n from mentions group by all), b as (select orcid, arg_min(author_raw, (-n, author_raw)) as author_display_name, string_agg(author_raw, '|' order by n desc, author_raw) as aliases from c group by 1), s as (select orcid, count(*) as mention_count, count(distinct bibcode) as document_count from mentions group by 1) select orcid as author_uid, author_display_name, aliases, mention_count, document_count from b join s using (orcid)")
+def _(spark, d):
+    m = _mentions(spark, d)
+    c = m.groupBy("orcid", "author_raw").agg(F.count("*").alias("n"))
+    names = c.groupBy("orcid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "author_raw"))), lambda x: x.author_raw).alias("a"))
+    sizes = m.groupBy("orcid").agg(F.count("*").alias("mention_count"), F.count_distinct("bibcode").alias("document_count"))
+    return names.join(sizes, "orcid").select(F.col("orcid").alias("author_uid"), F.element_at("a", 1).alias("author_display_name"), F.array_join("a", "|").alias("aliases"), "mention_count", "document_count")
+
+
+@query("q26_mirror", ", l as (select bibcode, string_agg(orcid, '|' order by author_idx) as author_uids from mentions group by 1) select bibcode, title, coalesce(author_uids, '') as author_uids from pubs left join l using (bibcode)")
+def _(spark, d):
+    lists = _mentions(spark, d).groupBy("bibcode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", "orcid"))), lambda x: x.orcid), "|").alias("author_uids"))
+    return _pubs(spark, d).join(lists, "bibcode", "left").select("bibcode", "title", F.coalesce("author_uids", F.lit("")).alias("author_uids"))
+
+
+@query("q28_pairwise_metrics", f", p as (select o1 = o2 as y, not ({_CLASH}) as hit from pairs) select count_if(y and hit) as tp, count_if(not y and hit) as fp, count_if(y and not hit) as fn, count_if(not y and not hit) as tn, round(count_if(y and hit) / count_if(hit), 6) as precision, round(count_if(y and hit) / count_if(y), 6) as recall from p")
+def _(spark, d):
+    p = _pairs(spark, d).select((F.col("orcid_1") == F.col("orcid_2")).alias("y"), (~core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2"))).alias("hit"))
+    out = p.agg(F.count_if(F.col("y") & F.col("hit")).alias("tp"), F.count_if(~F.col("y") & F.col("hit")).alias("fp"), F.count_if(F.col("y") & ~F.col("hit")).alias("fn"), F.count_if(~F.col("y") & ~F.col("hit")).alias("tn"))
+    return out.select("*", F.round(F.expr("tp / (tp + fp)"), 6).alias("precision"), F.round(F.expr("tp / (tp + fn)"), 6).alias("recall"))
+
+
+@query("q30_mean_sem", "select label as variant, round(avg(embedding[1]), 5) as mean, round(stddev_samp(embedding[1]) / sqrt(count(*)), 5) as sem from v group by 1", _VEC)
+def _(spark, d):
+    x = F.col("embedding")[0].cast("double")
+    return _table(spark, d, "embeddings").groupBy(F.col("label").alias("variant")).agg(F.round(F.avg(x), 5).alias("mean"), F.round(F.stddev_samp(x) / F.sqrt(F.count("*")), 5).alias("sem"))
+
+
+@query("q38_block_manifest", "select block_key, count(*) as n from keyed group by 1 order by 1")
+def _(spark, d):
+    return _keyed(spark, d).groupBy("block_key").agg(F.count("*").alias("n")).orderBy("block_key")
+
+
+@query("q39_largest_blocks", "select block_key, n_mentions from blocks order by n_mentions desc, block_key limit 20")
+def _(spark, d):
+    return core.block_sizes(_keyed(spark, d)).select("block_key", "n_mentions").orderBy(F.desc("n_mentions"), "block_key").limit(20)
+
+
+@query("q40_semi_anti", "select (select count(*) from pubs where bibcode in (select bibcode from mentions)) as with_mentions, (select count(*) from pubs where bibcode not in (select bibcode from mentions)) as without_mentions")
+def _(spark, d):
+    p, m = _pubs(spark, d), _mentions(spark, d)
+    a, b = p.join(m, "bibcode", "left_semi").agg(F.count("*").alias("with_mentions")), p.join(m, "bibcode", "left_anti").agg(F.count("*").alias("without_mentions"))
+    return a.crossJoin(b)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
