@@ -83,7 +83,7 @@ def decide(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
                 got = [look_up(trie.value, h, p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["page_id", "url", "host", "rule", "action"])
 
-        return rows.mapInArrow(run, rows.drop("path").withColumn("rule", F.lit("")).withColumn("action", F.lit("")).schema)
+        return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, host string, rule string, action string")
     host, path = F.lower(F.split("pattern", "/")[0]), F.filter(F.split("pattern", "/"), lambda s: s != "")
     keyed = usable.select(F.concat_ws("/", F.concat(F.array(host), F.slice(path, 2, 1000))).alias("rule"), "action").groupBy("rule").agg(F.max("action").alias("action"))
     labels, segs = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda s: s != "")
