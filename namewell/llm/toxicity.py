@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-WINDOW, GRAM, SLACK, FALSE_RATE = 8, 5, 2, 0.002
+WINDOW, GRAM, SLACK, RARE, FALSE_RATE = 8, 5, 1, 0.015, 0.004
 #: Bound of the training sample: rows of each kind, and bytes of a row that is taken into it.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 1500, 6000, 20_000
 
@@ -67,7 +67,7 @@ class Model:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, toxic) rows in a fixed order; every third row is held out for the cut-off."""
     train, held = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
-    toxic, plain = [t for t, y in train if y], [t for t, y in train if not y]
+    toxic, plain = list(dict.fromkeys(t for t, y in train if y)), [t for t, y in train if not y]
     if not toxic or not plain:
         return Model(b"", b"", 1)
     seen: set[bytes] = set()
@@ -80,7 +80,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         for w in set(t.lower().split()):
             fresh |= grams(_spelt(w)) - seen
         count.update(fresh)
-    keep = {g for g, k in count.items() if k >= max(3, 0.004 * len(toxic))}
+    keep = {g for g, k in count.items() if k >= max(3, RARE * len(toxic))}
     runs: Counter = Counter()
     for t in toxic:
         for w in t.lower().split():
