@@ -112,3 +112,43 @@ def first_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 def name_clash(c1: Column, c2: Column) -> Column:
     return conflict(c1["given"], c1["surname"], c2["given"], c2["surname"])
+
+
+def dbscan(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """(block_key, node, label) of density clusters: core nodes have ``least`` nodes within eps, themselves included; a border node takes the least label beside it; noise is -1."""
+    both = edges.select("block_key", "src", "dst").union(edges.select("block_key", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    dense = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n")), "node", "left").where(F.coalesce("_n", F.lit(0)) + 1 >= least).select("block_key", "node")
+    inner = edges.join(dense.select(F.col("node").alias("src")), "src", "left_semi").join(dense.select(F.col("node").alias("dst")), "dst", "left_semi")
+    found = components(dense, inner.select("block_key", "src", "dst"))
+    beside = both.join(found.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_b"))
+    return nodes.join(found.select("node", "label"), "node", "left").join(beside, "node", "left").select("block_key", "node", F.coalesce("label", "_b", F.lit(-1)).cast("long").alias("label"))
+
+
+def threshold_sweep(scored: DataFrame, grid: list[int]) -> DataFrame:
+    """(grid, tp, fp, f1) of ``scored`` (bin, y): one histogram pass, then sums over the few bins."""
+    hist = scored.groupBy("bin").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
+    points = scored.sparkSession.createDataFrame([(g,) for g in grid], "grid int")
+    pos = hist.agg(F.sum("p").alias("pos"))
+    sums = F.broadcast(points).crossJoin(hist).groupBy("grid").agg(F.sum(F.when(F.col("bin") >= F.col("grid"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= F.col("grid"), F.col("q")).otherwise(0)).alias("fp"))
+    return sums.crossJoin(F.broadcast(pos)).select("grid", "tp", "fp", F.round(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos")), 6).alias("f1"))
+
+
+def partition_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(block_key, changed): mentions whose cluster, told by its least mention and not by its label, differs."""
+    mark = lambda df, c: df.withColumn(c, F.min("mention_id").over(Window.partitionBy("block_key", "author_uid"))).select("mention_id", "block_key", c)
+    return mark(old, "s").join(mark(new, "t").drop("block_key"), "mention_id").groupBy("block_key").agg(F.count_if(F.col("s") != F.col("t")).alias("changed"))
+
+
+def balance(pairs: DataFrame) -> DataFrame:
+    """The larger class cut to the size of the smaller, by a hash of the pair; unlabelled pairs are left out."""
+    n = pairs.agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.md5("pair_id"), "pair_id"))
+    return pairs.where("label is not null").withColumn("_k", rank).crossJoin(F.broadcast(n)).where("_k <= _n").drop("_k", "_n")
+
+
+def assign_registry(members: DataFrame, registry: DataFrame, namespace: str) -> DataFrame:
+    """(cluster, uid): a cluster keeps the least identifier that its members have; the others get the next numbers, in order of their first mention."""
+    known = members.join(registry, "mention_id", "left").groupBy("cluster").agg(F.min("uid").alias("uid"), F.min("mention_id").alias("first_mention"))
+    top = registry.agg(F.coalesce(F.max(F.substring_index("uid", "au", -1).cast("long")), F.lit(0)).alias("_top"))
+    fresh = known.where("uid is null").withColumn("_n", F.row_number().over(Window.orderBy("first_mention"))).crossJoin(F.broadcast(top))
+    return known.where("uid is not null").select("cluster", "uid").unionByName(fresh.select("cluster", F.format_string(f"{namespace}::au%09d", F.col("_n") + F.col("_top")).alias("uid")))

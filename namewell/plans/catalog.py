@@ -250,6 +250,59 @@ def _(spark, d):
     return a.crossJoin(b)
 
 
+@query("q03_affiliation_pad", "select bibcode, unnest(range(n)) as author_idx, 'org' as aff from (select bibcode, count(*) as n from mentions group by 1) where false union all select m.bibcode, m.author_idx, case when m.author_idx = 0 then p.title end from mentions m join pubs p using (bibcode)")
+def _(spark, d):
+    # the publication's list has one affiliation; the rest of the authors are padded with null
+    p = _pubs(spark, d).select("bibcode", F.array("title").alias("aff"))
+    n = _mentions(spark, d).groupBy("bibcode").agg(F.count("*").cast("int").alias("n")).join(p, "bibcode")
+    from namewell.sources.readers import affiliations
+
+    padded = n.select("bibcode", affiliations(n, ["aff"], F.col("n")).alias("a"))
+    return padded.select("bibcode", F.posexplode("a").alias("author_idx", "aff")).withColumn("author_idx", F.col("author_idx").cast("long"))
+
+
+@query("q12_pairs_same_split", ", s as (select *, left(md5(orcid), 1) < '8' as train from keyed) select a.block_key, a.train, count(*) as n from s a join s b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode <> b.bibcode and a.train = b.train group by all")
+def _(spark, d):
+    m = _keyed(spark, d).withColumn("split", F.substring(F.md5("orcid"), 1, 1) < "8")
+    return core.candidate_pairs(m, ["split"], same_split=True).groupBy("block_key", F.col("split_1").alias("train")).agg(F.count("*").alias("n"))
+
+
+@query("q23_dbscan_minpts3", f", both_ways as (select block_key, src, dst from edges union all select block_key, dst, src from edges), core as (select src as node from both_ways group by 1 having count(*) >= 2), cc as (select b.src, b.dst from both_ways b join core x on b.src = x.node join core y on b.dst = y.node), reach(node, seen) as (select node, node from core union select r.node, c.dst from reach r join cc c on r.seen = c.src), root as (select node, min(seen) as root from reach group by 1), lab as (select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from root join v on vec_id = node), border as (select b.src as node, min(l.label) as label from both_ways b join lab l on b.dst = l.node where b.src not in (select node from core) group by 1) select v.label as block_key, v.vec_id as node, coalesce(l.label, b.label, -1) as label from v left join lab l on l.node = v.vec_id left join border b on b.node = v.vec_id", _VEC)
+def _(spark, d):
+    nodes = _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"))
+    return core.dbscan(nodes, _edges(spark, d), 3)
+
+
+@query("q29_threshold_sweep", f", p as (select cast(ceil((1 - abs(y1 - y2) / 10.0 + case when o1 = o2 then 0.05 else 0 end) * 1000) as int) as bin, o1 = o2 as y from pairs), t as (select g, count_if(y and bin >= g) as tp, count_if(not y and bin >= g) as fp from p cross join (select unnest(range(0, 1101, 50)) as g) group by 1), n as (select count_if(y) as pos from p) select cast(g as int) as grid, tp, fp, round(2.0 * tp / (tp + fp + pos), 6) as f1 from t, n")
+def _(spark, d):
+    p = _pairs(spark, d).select((F.col("orcid_1") == F.col("orcid_2")).alias("y"), F.abs(F.col("year_1") - F.col("year_2")).alias("gap"))
+    bins = F.ceil((F.lit(1).cast("decimal(10,4)") - F.col("gap").cast("decimal(10,4)") / 10 + F.when(F.col("y"), F.lit("0.05").cast("decimal(10,4)")).otherwise(F.lit(0).cast("decimal(10,4)"))) * 1000).cast("int")
+    return core.threshold_sweep(p.select(bins.alias("bin"), "y"), list(range(0, 1101, 50)))
+
+
+@query("q32_partition_drift", ", a as (select mention_id, block_key, orcid as u from keyed), b as (select mention_id, block_key, case when author_idx = 0 then orcid else block_key end as u from keyed), sa as (select *, min(mention_id) over (partition by block_key, u) as s from a), sb as (select *, min(mention_id) over (partition by block_key, u) as s from b) select sa.block_key, count_if(sa.s <> sb.s) as changed from sa join sb using (mention_id) group by 1")
+def _(spark, d):
+    m = _keyed(spark, d)
+    old = m.select("mention_id", "block_key", F.col("orcid").alias("author_uid"))
+    new = m.select("mention_id", "block_key", F.when(F.col("author_idx") == 0, F.col("orcid")).otherwise(F.col("block_key")).alias("author_uid"))
+    return core.partition_drift(old, new)
+
+
+@query("q34_balance", ", p as (select m1 || '__' || m2 as pair_id, o1 = o2 as y from pairs), r as (select *, row_number() over (partition by y order by md5(pair_id), pair_id) as k from p), n as (select least(count_if(y), count_if(not y)) as n from p) select cast(y as int) as label, count(*) as n, min(pair_id) as first_id, max(pair_id) as last_id from r, n where k <= n.n group by 1")
+def _(spark, d):
+    p = _pairs(spark, d).select("pair_id", core.pair_label(F.col("orcid_1"), F.col("orcid_2")).alias("label"))
+    return core.balance(p).groupBy("label").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_id"), F.max("pair_id").alias("last_id"))
+
+
+@query("q31_registry_assign", ", known as (select mention_id, orcid from mentions where author_idx = 0), u as (select orcid, min(mention_id) as first_mention, bool_or(author_idx = 0) as had from mentions group by 1), f as (select orcid, 'ns::au' || lpad(cast(row_number() over (order by min(mention_id)) as varchar), 9, '0') as uid from known group by 1), k as (select count(*) as n from f) select orcid, coalesce(f.uid, 'ns::au' || lpad(cast(k.n + row_number() over (partition by f.uid is null order by first_mention) as varchar), 9, '0')) as uid from u left join f using (orcid), k")
+def _(spark, d):
+    m = _mentions(spark, d)
+    order = Window.orderBy("first_mention")
+    known = m.where("author_idx = 0").groupBy("orcid").agg(F.min("mention_id").alias("first_mention")).withColumn("uid", F.format_string("ns::au%09d", F.row_number().over(order)))
+    registry = m.where("author_idx = 0").join(known.select("orcid", "uid"), "orcid").select("mention_id", "uid")
+    return core.assign_registry(m.select("mention_id", F.col("orcid").alias("cluster")), registry, "ns").withColumnRenamed("cluster", "orcid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
