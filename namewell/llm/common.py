@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .textkernel import by_bytes
 
 BROADCAST_ROWS = 2_000_000
+#: Rows that Spark hands to Python at once: texts are long, and a batch lives in both processes.
+ARROW_ROWS = "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordB
             for part in by_bytes(batch, text, limit):
                 yield fn(part)
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)
 
 

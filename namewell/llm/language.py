@@ -110,7 +110,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
     types = dict(rows.dtypes)
     given = rows.select("key", F.col("text"), "declared", "host")
-    seen = cut(map_text(given, "text", read, f"key {types['key']}, declared string, host string, ll array<double>, trigrams long, strange double"), "evidence")
+    seen = cut(map_text(given, "text", read, f"key {types['key']}, declared string, host string, ll array<double>, trigrams long, strange double", 1 << 19), "evidence")
     names = F.array(*[F.lit(x) for x in langs])
     labels = F.split("host", r"\.")
     seen = seen.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host")))
