@@ -142,6 +142,38 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.fit([("a b", 0)]).score("idiot") == 0
 
 
+def labelled_rows(d: str):
+    import pyarrow.parquet as pq
+
+    docs, labels = (pq.read_table(f"{d}/{t}.parquet").to_pydict() for t in ("documents", "labels"))
+    known = {i: y for i, y in zip(labels["doc_id"], labels["toxic"]) if y is not None}
+    return [r[1:] for r in sorted((i, t, known[i], g) for i, t, g in zip(docs["doc_id"], docs["text"], docs["lang"]) if i in known and t is not None)]
+
+
+def test_toxicity_of_each_language():
+    rows = labelled_rows("/root/testdata/sf0.1")
+    half = len(rows) // 2
+    model = toxicity.fit(rows[:half])
+    found = {}
+    for t, y, g in rows[half:]:
+        found.setdefault((g, y), []).append(model.score(t) >= model.cutoff)
+    recall = {g: sum(v) / len(v) for (g, y), v in found.items() if y}
+    # this half holds 11 toxic Spanish texts, too few to learn from
+    assert recall["en"] >= 0.85 and recall["de"] >= 0.75 and recall["fr"] >= 0.6, recall
+    assert sum(sum(v) for (g, y), v in found.items() if not y) <= 0.01 * sum(len(v) for (g, y), v in found.items() if not y)
+
+
+def test_toxicity_of_long_clean_texts():
+    rows = labelled_rows("/root/testdata/sf0.1")
+    half = len(rows) // 2
+    model = toxicity.fit(rows[:half])
+    for g in ("en", "de", "fr", "es"):
+        clean = "\n".join(t for t, y, lang in rows[half:] if not y and lang == g)
+        toxic = "\n".join(t for t, y, lang in rows[half:] if y and lang == g)
+        assert model.score((clean * 20)[:1_000_000]) < model.cutoff, g
+        assert g == "es" or model.score((toxic * 20)[:1_000_000]) >= model.cutoff, g
+
+
 def test_licences_against_plain_search(spark, odd, none):
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == 0
     notice, mit = licences.TEMPLATES["MIT-notice"], licences.TEMPLATES["MIT"]
