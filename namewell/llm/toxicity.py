@@ -130,22 +130,24 @@ def toxic_runs(toxic: list[str], plain: list[str]) -> tuple[Counter, set[bytes]]
             if not k:
                 texts[0].update({g for w in n for g in _grams(_spelt(w))})
     wanted = {g for g, k in texts[0].items() if k >= 3}
-    has = {w: _grams(_spelt(w)) & wanted for w in words[0].keys() | words[1].keys()}
+    texts[0] = Counter({g: texts[0][g] for g in wanted})
     tokens = [Counter(), Counter()]
     for k in (0, 1):
         for w, n in words[k].items():
-            for g in has[w]:
+            for g in _grams(_spelt(w)) & wanted:
                 tokens[k][g] += n
     size = [sum(c.values()) for c in words]
     wanted = {g for g in wanted if (tokens[0][g] + 0.5) / (size[0] + 1) >= LIFT * (tokens[1][g] + 0.5) / (size[1] + 1)}
+    has = {w: found for w in words[0].keys() | words[1].keys() if (found := _grams(_spelt(w)) & wanted)}
+    del words, tokens
     for t in plain:
-        texts[1].update({g for w in set(t.lower().split()) for g in has[w] & wanted})
+        texts[1].update({g for w in set(t.lower().split()) if w in has for g in has[w]})
     keep = {g for g in wanted if _evidence(texts[0][g], len(toxic), texts[1][g], len(plain)) >= EVIDENCE}
     runs: Counter = Counter()
     for t in toxic:
         found = set()
         for w in set(t.lower().split()):
-            if not has[w].isdisjoint(keep):
+            if w in has and not has[w].isdisjoint(keep):
                 b = _spelt(w)
                 at = [(i, i + n) for n in GRAMS for i in range(len(b) - n + 1) if b[i : i + n] in keep]
                 found.add(b[min(x for x, _ in at) : max(y for _, y in at)])
