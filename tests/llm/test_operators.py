@@ -92,6 +92,19 @@ def test_near_duplicates_brute_force(spark, odd, none):
     assert {(4, None), (5, ""), (6, "   "), (None, None), (7, LONG)} <= set(left)
 
 
+def test_near_duplicates_of_planted_edits(spark):
+    r, rows = random.Random(5), []
+    for i in range(300):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(words)))
+        for k in r.sample(range(200), 10):  # 5 % of the words
+            words[k] = f"x{r.randrange(5000)}"
+        rows.append((2 * i + 1, " ".join(words)))
+    got = {x["doc_id"]: x["root_id"] for x in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) >= 291
+    assert all(root // 2 == i // 2 for i, root in got.items())
+
+
 def test_bk_tree_is_exact():
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(40)]
