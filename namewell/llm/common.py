@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +14,24 @@ from pyspark.sql import functions as F
 
 from .textkernel import by_bytes
 
-BROADCAST_ROWS = 2_000_000
+#: Bytes (counted rows times the width that the caller states) up to which one side of a join is broadcast.
+BROADCAST_BYTES = 128 << 20
 #: Rows that Spark hands to Python at once: texts are long, and a batch lives in both processes.
 ARROW_ROWS = "1000"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """``spark`` with the row limit of Arrow batches under which every operator here runs, whichever ran before."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, a temporary one for a single-machine session (tests), an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("namewell.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="namewell-")
         spark.conf.set("namewell.dir", known)
     return known.rstrip("/")
@@ -42,13 +52,24 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordB
             for part in by_bytes(batch, text, limit):
                 yield fn(part)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    prepared(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def join_by_size(left: DataFrame, right: DataFrame, rows: int, on: object, how: str) -> DataFrame:
-    """Broadcast ``right`` only while its counted ``rows`` are few; beyond that a shuffle join that adaptive execution splits by skew."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def join_by_size(left: DataFrame, right: DataFrame, rows: int, on: object, how: str, width: int = 64) -> DataFrame:
+    """Broadcast ``right`` only while its counted ``rows`` of about ``width`` bytes are few; beyond that a shuffle join that adaptive execution splits by skew."""
+    return left.join(F.broadcast(right) if rows * width <= BROADCAST_BYTES else right, on, how)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores in front until ``df`` has no such column (names are compared as Spark does, without case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:

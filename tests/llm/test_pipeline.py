@@ -10,7 +10,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 def languages(rows, model):
-    """Rows that the fused evidence can tell, by plain arithmetic."""
+    """Rows that the fused evidence can tell, with its language, by plain arithmetic."""
     ll, n, strange = model.likelihoods(pa.array([r["text"] for r in rows]))
     k = len(model.langs)
     votes = [int(np.argmax(ll[i])) if n[i] > 0 and strange[i] < language.UNKNOWN else None for i in range(len(rows))]
@@ -26,14 +26,17 @@ def languages(rows, model):
             p = (c + language.PSEUDO * p) / (c.sum() + language.PSEUDO)
         said = np.array([np.log(language.DECLARED) if x == r["lang"] else np.log((1 - language.DECLARED) / (k - 1)) for x in model.langs]) if r["lang"] in model.langs else 0
         logs = ll[i] + said + np.log(p)
-        if 1 / np.exp(logs - logs.max()).sum() >= language.MIN_POSTERIOR and strange[i] < language.UNKNOWN:
+        if n[i] == 0:
             kept.append(r)
+        elif 1 / np.exp(logs - logs.max()).sum() >= language.MIN_POSTERIOR and strange[i] < language.UNKNOWN:
+            kept.append(r | {"lang": model.langs[int(np.argmax(logs))]})
     return kept
 
 
 def one_of_each_group(rows):
     h, b = shingles(words_of(pa.array([r["text"] for r in rows])), near_dup.SIZE)
-    prints, bands = near_dup.fingerprints(h, b), near_dup.band_keys(h, b)
+    prints, least = near_dup.wide_fingerprints(h, b), near_dup.minima(h, b)
+    bands = least.reshape(len(rows), near_dup.BANDS, -1)
     group = list(range(len(rows)))
 
     def find(i):
@@ -43,7 +46,7 @@ def one_of_each_group(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if b[i + 1] > b[i] and b[j + 1] > b[j] and (bands[i] == bands[j]).any() and int(prints[i] ^ prints[j]).bit_count() <= near_dup.RADIUS:
+            if b[i + 1] > b[i] and b[j + 1] > b[j] and (bands[i] == bands[j]).all(1).any() and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= near_dup.RADIUS * near_dup.WORDS:
                 x, y = find(i), find(j)
                 group[max(x, y)] = min(x, y)
     return [r for i, r in enumerate(rows) if find(i) == i]  # rows come in the order of their ids
