@@ -1,14 +1,15 @@
 """Language by fused evidence.
 
-Four sources speak for a row's language: character trigram likelihoods (a hashed naive Bayes model fitted on a bounded
-sample of labelled rows, tempered by the text's length), the language its markup or table declares, the suffix of its
-address, and its host.  Host priors come from grouped aggregation over the whole table, smoothed upwards: host over
-registered domain over suffix over everything, each level's counts leaving the row itself out.  The posterior is their
-normalised product.
-
-A text without letters has no likelihood; it is "und" (undetermined) unless the other evidence reaches MIN_POSTERIOR.  So is any row whose posterior
-stays under it, and a text whose trigrams are mostly unknown to every language's model.  Null texts, addresses and
-declarations are missing evidence; repeated rows count each; an empty table gives no row.
+Four sources speak for a row's language: character trigram likelihoods (a hashed naive Bayes model, tempered by the text's
+length, fitted on at most SAMPLE rows of each declared language of at most SAMPLE_BYTES bytes, the ``per_language`` and
+``most_bytes`` of ``labelled``), the language its markup or table declares, the public suffix of its address, and its
+host.  Host priors come from grouped aggregation over the whole table, smoothed upwards: host over registered domain over
+suffix over everything, each level's counts leaving the row itself out.  The posterior is their normalised product.
+
+A text without letters has no likelihood; it is "und" (undetermined) unless the other evidence reaches MIN_POSTERIOR.  So
+is any row whose posterior stays under it, and a text whose trigrams are mostly unknown to every language's model.  Null
+texts, addresses and declarations are missing evidence; very long texts are read whole; of languages that tie the first
+in the alphabet wins; repeated rows count each; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,31 +21,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, join_by_size, map_text
 from .textkernel import mix64, reduce_add, text_buffers
 from .url_filter import host_of
 
 BUCKETS, SAMPLE, SAMPLE_BYTES = 1 << 15, 400, 20_000
+#: General labels that stand before a country's.
+SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu", "or", "ne", "go"]
 #: Reliability of a declaration; pseudo-counts of the smoothing; the most nats that a text's likelihoods may differ by.
 DECLARED, PSEUDO, MIN_POSTERIOR, TEMPER, UNKNOWN = 0.9, 8.0, 0.6, 40.0, 0.5
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter trigrams of lower-cased texts (digits, marks and white space are word ends) and their bounds."""
+    """Buckets of the letter trigrams (of characters, not bytes) of lower-cased texts, digits, marks and white space being word ends, and their bounds."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    data, offsets = text_buffers(pc.utf8_lower(texts))
-    letter = (data >= 128) | ((data >= 97) & (data <= 122))
-    b = np.where(letter, data, 32).astype(np.uint32)
+    texts = pc.utf8_lower(texts)
+    data, _ = text_buffers(texts)
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    letter = (points >= 128) | ((points >= 97) & (points <= 122))
+    b = np.where(letter, points, 32).astype(np.uint64)
     if len(b) < 3:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    h = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    h = (b[:-2] << np.uint64(42)) | (b[1:-1] << np.uint64(21)) | b[2:]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(h)]
     inside = np.arange(len(h)) + 2 < offsets[doc + 1]
     use = inside & letter[1:-1] & (letter[:-2] | letter[2:])
     doc = doc[use]
-    return (mix64(h[use].astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(doc, np.arange(len(offsets)))
+    return (mix64(h[use]) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(doc, np.arange(len(offsets)))
 
 
 @dataclass
@@ -74,18 +81,21 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return Model(langs, np.ascontiguousarray(table.T, np.float32), counts.sum(axis=0) > 0)
 
 
-def labelled(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each declared language, chosen by a hash of the id, whatever the partitioning."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    langs = [r["lang"] for r in known.groupBy("lang").count().collect()]
-    picked = None
-    for lang in sorted(langs):
-        part = known.where(F.col("lang") == lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l"), F.xxhash64("text").alias("_h")).orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(per_language)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
+def labelled(docs: DataFrame, per_language: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """(text, language) of at most ``per_language`` rows of each declared language, of at most ``most_bytes`` each, chosen by a hash of id and text, whatever the partitioning."""
+    known = docs.select(F.col("doc_id").alias("i"), "text", F.col("lang").alias("l"), F.xxhash64("text").alias("h")).where(F.col("l").isNotNull() & F.col("i").isNotNull() & (F.octet_length("text") <= most_bytes))
+    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
+    if not sizes:
         return []
-    rows = known.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_l")) & (F.xxhash64("text") == F.col("_h"))).select("_id", "text", "_l").collect()
-    return [(r["text"], r["_l"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_l"], r["text"]))]
+    order = F.struct(F.xxhash64("i", "h").alias("o"), "i", "h")
+    # rows under a language's own threshold, about four times as many as wanted, are ranked; where so few are under it that they may not suffice, all are
+    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1.0, 4.0 * per_language / n if n > 40 * per_language else 1.0))) for lang, n in sorted(sizes.items())])
+    low = F.xxhash64("i", "h").cast("double") / float(1 << 64) + 0.5
+    under = known.where(low <= share)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(order))
+    picked = under.select("l", "i", "h").withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("l").alias("pl"), F.col("i").alias("pi"), F.col("h").alias("ph")).distinct()
+    rows = known.join(F.broadcast(picked), (F.col("i") == F.col("pi")) & (F.col("l") == F.col("pl")) & (F.col("h") == F.col("ph"))).dropDuplicates(["i", "l", "h"]).select("i", "text", "l").collect()
+    return [(r["text"], r["l"]) for r in sorted(rows, key=lambda r: (str(r["i"]), r["l"], r["text"]))]
 
 
 def page_text(html: Column) -> Column:
@@ -113,7 +123,10 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     seen = cut(map_text(given, "text", read, f"key {types['key']}, declared string, host string, ll array<double>, trigrams long, strange double", 1 << 19), "evidence")
     names = F.array(*[F.lit(x) for x in langs])
     labels = F.split("host", r"\.")
-    seen = seen.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host")))
+    # the public suffix is the last label, or the last two where a country's label follows a general one (co.uk)
+    own = F.when((F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(SECOND_LEVEL), 2).otherwise(1)
+    tail = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n))
+    seen = seen.withColumn("suffix", F.when(F.col("host").isNotNull(), tail(own))).withColumn("domain", F.when(F.col("host").isNotNull(), tail(own + 1)))
     top = F.array_position("ll", F.array_max("ll"))
     # a row's vote: its text's language where it has letters of one
     seen = cut(seen.withColumn("vote", F.when((F.col("trigrams") > 0) & (F.col("strange") < UNKNOWN), F.element_at(names, top.cast("int")))), "votes")
@@ -125,7 +138,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     prior = cut(prior.withColumnRenamed("host", "_host"), "priors")
     everything = seen.agg(*[v.alias(x) for v, x in zip(votes, langs)]).first()
     whole = F.array(*[F.lit(float(everything[x])) for x in langs])
-    joined = join_by_size(seen, prior, prior.count(), F.col("host") == F.col("_host"), "left")
+    joined = join_by_size(seen, prior, prior.count(), F.col("host") == F.col("_host"), "left", 256 + 24 * k)
     # counts without the row itself, then one level smoothed by the next
     own = F.transform(names, lambda x: F.when(x.eqNullSafe(F.col("vote")), 1.0).otherwise(0.0))
     less = lambda c: F.zip_with(c, own, lambda a, o: F.greatest(a - o, F.lit(0.0)))
