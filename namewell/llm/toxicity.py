@@ -10,8 +10,9 @@ brings (the rate of the noisiest language, and a spread that grows with the root
 calibrated on held-out rows, the least score that at most FALSE_RATE of the ordinary ones reach, and the spread on
 held-out ordinary rows of a language joined to long ones.
 
-Null and empty texts score 0 and are never toxic.  Without labels of both kinds nothing is toxic.  Rows repeat as they
-come; null ids stay null; contradictory repeated labels count as both.
+Null and empty texts score 0 and are never toxic; very long ones are scored whole.  Without labels of both kinds nothing
+is toxic.  A score that ties with the cut-off is toxic.  Rows repeat as they come; null ids stay null; contradictory
+repeated labels count as both; an empty table gives no row; other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import zstandard as zs
@@ -34,6 +36,8 @@ WINDOW, SLACK, FALSE_RATE = 8, 1, 0.004
 GRAMS, LIFT, EVIDENCE = (5, 6, 8, 10), 10, 20
 #: Bound of the training sample: rows of each kind, and bytes of a row; of rows longer than that up to LONG_ROWS of each kind.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES, LONG_ROWS, LONG_BYTES = 1500, 6000, 20_000, 40, 1_000_000
+#: Bounds of the dictionaries: bytes of the toxic runs, the size that the trainer is asked for, bytes of ordinary content, and the windows it trains on, spread evenly over the ordinary rows.
+RUN_BYTES, TRAINER_BYTES, PLAIN_BYTES, TRAINER_WINDOWS = 60_000, 16_384, 14_000, 40_000
 
 
 def _spelt(word: str) -> bytes:
@@ -158,8 +162,12 @@ def toxic_runs(toxic: list[str], plain: list[str]) -> tuple[Counter, set[bytes]]
     return runs + Counter({g: texts[0][g] for g in keep if g not in held}), least
 
 
-def fit(rows: list[tuple]) -> Model:
-    """A model from (text, toxic) or (text, toxic, language) rows in a fixed order; every third row is held out for the cut-off."""
+def fit(rows: list[tuple], run_bytes: int = RUN_BYTES, plain_bytes: int = PLAIN_BYTES, trainer_windows: int = TRAINER_WINDOWS) -> Model:
+    """A model from (text, toxic) or (text, toxic, language) rows in a fixed order; every third row is held out for the cut-off.
+
+    The bounds are of the fit alone: of the toxic runs the most frequent ``run_bytes`` stay, the ordinary dictionary is
+    trained on every n-th window of the ordinary rows, n so chosen that about ``trainer_windows`` are left, and holds ``plain_bytes``.
+    """
     train, held = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     language = lambda r: r[2] if len(r) > 2 else None
     copies = {r[0] for r in train if r[1]} - set(_distinct([r[0] for r in train if r[1]]))
@@ -173,12 +181,13 @@ def fit(rows: list[tuple]) -> Model:
         runs |= more
         parts.append(part)
     parts = [p for p in [*parts, least.difference(*parts)] if p]
-    special = b"".join(k for k, v in sorted(runs.items(), key=lambda x: (x[1], x[0])))[-60_000:]
-    samples = [w for t in plain[:1500] for w in windows(t)][:40_000]
+    special = b"".join(k for k, v in sorted(runs.items(), key=lambda x: (x[1], x[0])))[-run_bytes:]
+    step = max(1, sum(-(-len(t.split()) // WINDOW) for t in plain) // trainer_windows)
+    samples = list(islice((w for t in plain for w in windows(t)), 0, None, step))
     try:
-        ordinary = zs.train_dictionary(16_384, samples, k=64, d=8).as_bytes()[-14_000:]
+        ordinary = zs.train_dictionary(TRAINER_BYTES, samples, k=64, d=8).as_bytes()[-plain_bytes:]
     except zs.ZstdError:  # too few samples to train on: their text is the dictionary
-        ordinary = b"".join(samples)[-14_000:] or b"        "
+        ordinary = b"".join(samples)[-plain_bytes:] or b"        "
     model = Model(ordinary, special + ordinary if special else b"", 1, tuple(b"|".join(re.escape(g) for g in sorted(p)) for p in parts))
     clean: dict = {}
     for r in held:
@@ -210,31 +219,33 @@ def calibrate(model: Model, clean: list[list[tuple[tuple[int, ...], int]]]) -> N
 
 
 def labelled(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> list[tuple[str, int, str | None]]:
-    """(text, toxic, declared language) of the bounded sample, chosen by a hash of the id and so alike for every partitioning."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("_y")).distinct()
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    size, order = F.octet_length("text"), (F.xxhash64("_id"), "_id")
+    """(text, toxic, declared language) of the bounded sample, chosen by a hash of the id (of any type) and so alike for every partitioning."""
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("k"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("y")).distinct()
+    size, order = F.octet_length("text"), (F.xxhash64("k"), "k")
     picked = None
     for y, n in ((1, toxic_rows), (0, ordinary_rows)):
-        part = known.where(F.col("_y") == y).orderBy(*order).limit(n)
+        part = known.where(F.col("y") == y).orderBy(*order).limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", lang.alias("_lang"), "text")
+    given = docs.select(F.col("doc_id").alias("i"), "text", (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("g"))
+    found = given.join(F.broadcast(picked), F.col("i") == F.col("k")).select("k", F.xxhash64("k").alias("o"), "y", "g", "text")
     rows = found.where(size <= ROW_BYTES).collect()
     for y in (1, 0):
-        rows += found.where((F.col("_y") == y) & (size > ROW_BYTES) & (size <= LONG_BYTES)).orderBy(*order, F.xxhash64("text")).limit(LONG_ROWS).collect()
-    return [(r["text"], r["_y"], r["_lang"]) for r in sorted(rows, key=lambda r: (hash((r["_id"] * 2654435761) & 0xFFFFFFFF), r["_id"], r["_y"], r["text"], r["_lang"] or ""))]
+        rows += found.where((F.col("y") == y) & (size > ROW_BYTES) & (size <= LONG_BYTES)).orderBy(*order, F.xxhash64("text")).limit(LONG_ROWS).collect()
+    return [(r["text"], r["y"], r["g"]) for r in sorted(rows, key=lambda r: (r["o"], str(r["k"]), r["y"], r["text"], r["g"] or ""))]
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` with ``_score``; the text column is read whole."""
+def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", score: str = "_score") -> DataFrame:
+    """``columns`` of ``docs`` with the column ``score``, which may not be one of them; the text column is read whole."""
+    if score.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"there is a column {score} already")
     given = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text_col])])
     at = given.columns.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         s = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.int64())
-        return pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in columns], s], names=[*columns, "_score"])
+        return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(columns))], s], names=[*columns, score])
 
-    return map_text(given, text_col, run, given.select(*[f"`{c}`" for c in columns]).withColumn("_score", F.lit(0).cast("long")).schema)
+    return map_text(given, text_col, run, given.select(*[F.col(f"`{c}`") for c in columns]).withColumn(score, F.lit(0).cast("long")).schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
