@@ -7,7 +7,7 @@ the last is full and holds neighbours.  A document that a cut meets continues at
 
 Result: (doc_id, pack_id, slot, doc_start, length, hilbert): one row a piece; ``slot`` is the piece's first word in its pack.
 Null and word-less texts give no piece.  Null ids are kept as null.  Repeated rows are packed as often as they come, ties
-on the key go by id.  An empty table gives no row; columns other than the id and the text are not read.
+on the key go by id.  Very long texts are read whole and cut as the line is.  An empty table gives no row; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         key, count = curve_keys(b.column(1))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(count.astype(np.int64))], names=["doc_id", "hilbert", "n"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     line = ranked(map_text(rows, "text", keyed, "doc_id long, hilbert long, n long").where("n > 0"), ["hilbert", "doc_id", "n"], "n")
     first, last = F.expr(f"_at div {capacity}"), F.expr(f"(_at + n - 1) div {capacity}")
     pieces = line.select("*", F.explode(F.sequence(first, last)).alias("pack_id"))
