@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
+_NOT_PLAIN = re.compile("[^a-z0-9]+")
+
+
+def fold(name: str) -> str:
+    """Compatibility decomposition, what is not ASCII dropped, lower case, trimmed."""
+    return unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower().strip()
 
 
 @F.pandas_udf(StringType())
 def ascii_fold(names: pd.Series) -> pd.Series:
-    """Compatibility decomposition, what is not ASCII dropped, lower case, trimmed."""
-    return names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower().strip())
+    """``fold`` of each different name of a batch."""
+    known = {n: fold(n) for n in names.dropna().unique()}
+    return names.map(lambda n: known.get(n))
+
+
+def plain_parts(name: str) -> tuple[str, str, str]:
+    """(block key, given, surname) of a raw name: the rules of ``block_key`` and ``name_tokens`` on one string."""
+    folded = fold(name)
+    bare = lambda t: _NOT_PLAIN.sub("", t)
+    words = folded.split()
+    before, comma, after = folded.partition(",")
+    if comma:
+        given, rest = after.split(), before.split()
+        g, s = (given[0] if given else ""), (rest[-1] if rest else "")
+    else:
+        trail = 0
+        while trail < len(words) and 1 <= len(bare(words[-1 - trail])) <= 3:
+            trail += 1
+        given, rest = (words[len(words) - trail :], words[: len(words) - trail]) if 0 < trail < len(words) else (words[:1], words)
+        short = len(words) > 1 and 1 <= len(bare(words[-1])) <= 2
+        g, s = (words[-1], words[-2]) if short else (words[0], words[-1]) if words else ("", "")
+    if len(rest) > 1 and bare(rest[-1]) in SUFFIXES:
+        rest = rest[:-1]
+    surname, initial = bare(rest[-1]) if rest else "", bare("".join(given))[:1]
+    return f"{initial}.{surname}" if surname and initial else "unknown", bare(g), bare(s)
+
+
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("block_key", "given", "surname")]))
+def name_parts(names: pd.Series) -> pd.DataFrame:
+    """struct(block_key, given, surname) of raw names, each different one of a batch worked out once; a null name's key is unknown."""
+    known = {n: plain_parts(n) for n in names.dropna().unique()}
+    return pd.DataFrame([known.get(n, ("unknown", "", "")) for n in names], columns=["block_key", "given", "surname"])
 
 
 def clean(token: Column) -> Column:
@@ -44,16 +81,20 @@ def _parts(folded: Column) -> tuple[Column, Column]:
 def block_key(folded: Column) -> Column:
     """``initial.surname`` of a folded name; ``unknown`` where either is missing."""
     given, rest = _parts(folded)
-    bare = F.when((F.size(rest) > 1) & clean(F.element_at(rest, -1)).isin(SUFFIXES), F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
+    bare = F.when((F.size(rest) > 1) & clean(F.try_element_at(rest, F.lit(-1))).isin(SUFFIXES), F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
     surname = clean(F.try_element_at(bare, F.lit(-1)))
     initial = F.substring(clean(F.concat_ws("", given)), 1, 1)
     return F.when((F.coalesce(surname, F.lit("")) == "") | (F.coalesce(initial, F.lit("")) == ""), "unknown").otherwise(F.concat_ws(".", initial, surname))
 
 
 def with_block_key(df: DataFrame, name_col: str = "author_raw") -> DataFrame:
-    """``df`` with ``block_key``: each different name is folded once."""
-    names = df.select(F.col(name_col).alias("_name")).where("_name is not null").distinct().withColumn("_fold", ascii_fold("_name")).withColumn("_key", block_key(F.col("_fold")))
-    return df.join(names.select("_name", "_key"), F.col(name_col) == F.col("_name"), "left").withColumn("block_key", F.coalesce("_key", F.lit("unknown"))).drop("_name", "_key")
+    """``df`` with ``block_key``, in one pass over Arrow batches and without a shuffle."""
+    return df.withColumn("block_key", name_parts(F.col(name_col))["block_key"])
+
+
+def with_name_parts(df: DataFrame, name_col: str = "author_raw") -> DataFrame:
+    """``df`` with ``block_key``, ``given`` and ``surname``, likewise."""
+    return df.withColumn("_parts", name_parts(F.col(name_col))).select(*[F.col(f"`{c}`") for c in df.columns], "_parts.*")
 
 
 def name_tokens(folded: Column) -> Column:
@@ -61,9 +102,9 @@ def name_tokens(folded: Column) -> Column:
     comma = F.contains(folded, F.lit(","))
     words = _words(folded)
     n = F.size(words)
-    short = F.length(clean(F.element_at(words, -1))).between(1, 2) & (n > 1)
-    given = F.when(comma, F.try_element_at(_words(F.regexp_replace(folded, "^[^,]*,", "")), F.lit(1))).when(short, F.element_at(words, -1)).otherwise(F.try_element_at(words, F.lit(1)))
-    surname = F.when(comma, F.try_element_at(_words(F.substring_index(folded, ",", 1)), F.lit(-1))).when(short, F.element_at(words, n - 1)).otherwise(F.try_element_at(words, F.lit(-1)))
+    short = F.length(clean(F.try_element_at(words, F.lit(-1)))).between(1, 2) & (n > 1)
+    given = F.when(comma, F.try_element_at(_words(F.regexp_replace(folded, "^[^,]*,", "")), F.lit(1))).when(short, F.try_element_at(words, F.lit(-1))).otherwise(F.try_element_at(words, F.lit(1)))
+    surname = F.when(comma, F.try_element_at(_words(F.substring_index(folded, ",", 1)), F.lit(-1))).when(short, F.try_element_at(words, n - 1)).otherwise(F.try_element_at(words, F.lit(-1)))
     return F.struct(F.coalesce(clean(given), F.lit("")).alias("given"), F.coalesce(clean(surname), F.lit("")).alias("surname"))
 
 

@@ -1,47 +1,88 @@
-"""From clusters back to the source rows: assignments, mirrored inputs and the quality figures of a run."""
+"""From clusters back to the source rows: assignments, entities and mirrored inputs."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namewell.operators.tables import cut
 
-def assignments(positions: DataFrame, clusters: DataFrame, namespace: str | None = None) -> DataFrame:
-    """One row a source row and author: the cluster of its mention, or an identifier of its own where there is none.
+COLUMNS = ["source_type", "source_row_idx", "bibcode", "author_idx", "author_raw", "author_uid", "author_uid_local", "author_display_name", "canonical_mention_id", "assignment_kind"]
 
-    ``positions`` has source_type, source_row_idx, bibcode, author_idx, author_raw and canonical (whether the row is its key's own).
-    """
+
+def clean_alias(c: Column) -> Column:
+    """A name with each run of white space made one blank."""
+    return F.trim(F.regexp_replace(c, r"[\s\u0085\p{Z}]+", " "))
+
+
+def scoped(namespace: str | None, local: Column) -> Column:
+    """A local uid, within ``namespace`` if there is one."""
     if namespace and "::" in namespace:
         raise ValueError("a namespace may not contain ::")
-    known = clusters.dropDuplicates(["mention_id"]).select("mention_id", F.col("author_uid").alias("author_uid_local"))
-    out = positions.withColumn("canonical_mention_id", F.concat_ws("::", "bibcode", "author_idx")).join(known.withColumnRenamed("mention_id", "canonical_mention_id"), "canonical_mention_id", "left")
-    own = F.concat_ws("::", F.lit("src"), "source_type", "source_row_idx", "author_idx")
-    kind = F.when(F.col("author_uid_local").isNull(), "fallback_unmatched").when(F.col("canonical"), "canonical").otherwise("projected_duplicate")
-    out = out.withColumn("assignment_kind", kind).withColumn("author_uid_local", F.coalesce("author_uid_local", own))
-    return out.withColumn("author_uid", F.concat(F.lit(f"{namespace}::"), "author_uid_local") if namespace else F.col("author_uid_local"))
+    return F.concat(F.lit(f"{namespace}::"), local) if namespace else local
 
 
-def mirror(raw: DataFrame, assigned: DataFrame, key: str = "source_row_idx", author_count: str = "n_authors") -> DataFrame:
-    """``raw`` with AuthorUID and AuthorDisplayName lists; stale ones are replaced, author-less rows get empty lists, and a row whose lists do not fit its authors raises."""
-    lists = assigned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("author_idx", "author_uid", F.coalesce("author_display_name", "author_raw").alias("name")))).alias("_l"))
-    joined = raw.drop("AuthorUID", "AuthorDisplayName").join(lists, key, "left")
-    wrong = joined.where(F.coalesce(F.size("_l"), F.lit(0)) != F.col(author_count)).select(key).limit(5).collect()
-    if wrong:
-        raise ValueError(f"rows whose authors and assignments differ: {[r[0] for r in wrong]}")
+def source_positions(records: DataFrame) -> DataFrame:
+    """One row a source row and author (blank names dropped first): what is to be assigned."""
+    return records.select("source_type", "source_row_idx", "bibcode", F.posexplode(F.filter("authors", lambda x: F.trim(x) != "")).alias("author_idx", "author_raw")).withColumn("author_idx", F.col("author_idx").cast("long"))
+
+
+def assignments(positions: DataFrame, clusters: DataFrame, canonical: DataFrame, namespace: str | None = None) -> DataFrame:
+    """One row a source row and author: the cluster of its mention, or an identifier of its own where there is none.
+
+    ``canonical`` (bibcode, canonical_source_type, canonical_source_row_idx) tells which row is its key's own.  Clusters of one
+    mention in two rows are an error.  A cluster's global uid is taken where ``clusters`` has it beside author_uid_local.
+    """
+    if not clusters.groupBy("mention_id").count().where("count > 1").isEmpty():
+        raise ValueError("a mention is in two clusters")
+    local = F.col("author_uid_local") if "author_uid_local" in clusters.columns else F.col("author_uid")
+    whole = F.col("author_uid") if "author_uid_local" in clusters.columns else scoped(namespace, F.col("author_uid"))
+    known = clusters.select(F.col("mention_id").alias("_m"), local.alias("_local"), whole.alias("_uid"))
+    own = canonical.select("bibcode", "canonical_source_type", "canonical_source_row_idx").dropDuplicates(["bibcode"])
+    out = positions.withColumn("_id", F.concat_ws("::", "bibcode", "author_idx")).join(known, F.col("_id") == F.col("_m"), "left").join(own, "bibcode", "left")
+    lone, at = F.col("_uid").isNull(), ["source_type", "source_row_idx", "author_idx"]
+    alone = F.concat_ws(".", F.lit("src"), *at)
+    first = (F.col("source_type") == F.col("canonical_source_type")) & (F.col("source_row_idx") == F.col("canonical_source_row_idx"))
+    return out.select(
+        "source_type", "source_row_idx", "bibcode", "author_idx", "author_raw", F.coalesce("_uid", scoped(namespace, alone)).alias("author_uid"), F.when(lone, alone).otherwise(F.col("_local")).alias("author_uid_local"),
+        F.when(lone, F.concat_ws("::", F.lit("src"), *at)).otherwise(F.col("_id")).alias("canonical_mention_id"), F.when(lone, "fallback_unmatched").when(F.coalesce(first, F.lit(False)), "canonical").otherwise("projected_duplicate").alias("assignment_kind"),
+    )
+
+
+def entities(assigned: DataFrame) -> DataFrame:
+    """One row a uid: its names by frequency, the most frequent as display name, its most frequent local uid, and mentions, documents and canonical mentions."""
+    names = assigned.groupBy("author_uid", clean_alias(F.col("author_raw")).alias("alias")).agg(F.count("*").alias("n"))
+    lists = names.groupBy("author_uid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "alias"))), lambda x: x["alias"]).alias("aliases"))
+    locals_ = assigned.groupBy("author_uid", "author_uid_local").agg(F.count("*").alias("n")).groupBy("author_uid").agg(F.min_by("author_uid_local", F.struct((-F.col("n")).alias("n"), "author_uid_local")).alias("author_uid_local"))
+    sizes = assigned.groupBy("author_uid").agg(F.count("*").alias("mention_count"), F.count_distinct("source_type", "source_row_idx").alias("document_count"), F.count_distinct("canonical_mention_id").alias("unique_mention_count"))
+    out = lists.join(locals_, "author_uid").join(sizes, "author_uid")
+    return out.select("author_uid", "author_uid_local", F.element_at("aliases", 1).alias("author_display_name"), "aliases", "mention_count", "document_count", "unique_mention_count", F.lit("most_frequent_alias").alias("display_name_method"))
+
+
+def with_display_names(rows: DataFrame, entity: DataFrame) -> DataFrame:
+    """``rows`` (author_uid, ...) with author_display_name."""
+    return rows.drop("author_display_name").join(entity.select("author_uid", "author_display_name"), "author_uid", "left")
+
+
+def mirror(raw: DataFrame, assigned: DataFrame, key: str = "source_row_idx", author_count: str = "n_authors") -> tuple[DataFrame, dict]:
+    """``raw`` with AuthorUID and AuthorDisplayName lists, and how many authors are mapped.
+
+    Lists that are there already are replaced, rows without authors get empty ones; a row whose lists do not fit its authors raises.
+    The joined rows are written once; the check and the figures are one aggregate over what was written.
+    """
+    name = F.coalesce("author_display_name", "author_raw").alias("name")
+    lists = assigned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("author_idx", "author_uid", name))).alias("_l"), F.count_if(F.col("assignment_kind") == "fallback_unmatched").alias("_f"))
     take = lambda f: F.coalesce(F.transform("_l", f), F.array().cast("array<string>"))
-    return joined.withColumn("AuthorUID", take(lambda x: x.author_uid)).withColumn("AuthorDisplayName", take(lambda x: x["name"])).drop("_l")
+    joined = raw.drop("AuthorUID", "AuthorDisplayName").join(lists, key, "left")
+    made = cut(joined.withColumn("AuthorUID", take(lambda x: x.author_uid)).withColumn("AuthorDisplayName", take(lambda x: x["name"])).withColumn("_f", F.coalesce("_f", F.lit(0))).drop("_l"), "mirror")
+    wrong = F.size("AuthorUID") != F.col(author_count)
+    r = made.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("AuthorUID")), F.lit(0)).alias("n"), F.coalesce(F.sum("_f"), F.lit(0)).alias("f"), F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col(key))).alias("first")).first()
+    if r["wrong"]:
+        raise ValueError(f"{r['wrong']} rows whose authors and assignments differ, the first {key} {r['first']}")
+    return made.drop("_f"), coverage(r["rows"], r["n"], r["n"], r["f"])
 
 
-def cluster_quality(scores: DataFrame, clusters: DataFrame, low: float, high: float) -> DataFrame:
-    """One row: pairs merged under ``low`` cosine, pairs split at or over ``high``, and the share of clusters of one mention."""
-    c = clusters.select("mention_id", "author_uid")
-    side = lambda n: c.select(F.col("mention_id").alias(f"mention_id_{n}"), F.col("author_uid").alias(f"u{n}"))
-    pairs = scores.join(side(1), "mention_id_1", "left").join(side(2), "mention_id_2", "left").withColumn("same", F.coalesce(F.col("u1") == F.col("u2"), F.lit(False)))
-    counts = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("same") & (F.col("cosine_sim") < low)).alias("merged_low_conf_count"), F.count_if(~F.col("same") & (F.col("cosine_sim") >= high)).alias("split_high_sim_count"), F.count_if((F.col("cosine_sim") < -1) | (F.col("cosine_sim") > 1)).alias("out_of_range"))
-    sizes = c.groupBy("author_uid").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.avg((F.col("n") == 1).cast("double")).alias("singleton_ratio"))
-    return counts.crossJoin(F.broadcast(sizes))
+def coverage(rows: int, authors: int, mapped: int, fallback: int) -> dict:
+    return {"rows_total": rows, "authors_total": authors, "authors_mapped": mapped, "authors_unmapped": authors - mapped, "authors_fallback": fallback, "coverage_rate": mapped / max(1, authors)}
 
 
-def gates(metrics: dict, rules: list[tuple[str, str, float, str]]) -> dict:
-    """Checks (metric, op, bound, severity) of a run's metrics: go unless a blocker fails; a missing metric fails its check."""
-    test = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b}
-    rows = [{"metric": m, "severity": s, "ok": metrics.get(m) is not None and test[op](metrics[m], b)} for m, op, b, s in rules]
-    return {"go": all(r["ok"] for r in rows if r["severity"] == "blocker"), "checks": rows, "warnings": [r["metric"] for r in rows if not r["ok"] and r["severity"] != "blocker"]}
+def combined_coverage(parts: list[dict]) -> dict:
+    return coverage(*[sum(p[k] for p in parts) for k in ("rows_total", "authors_total", "authors_mapped", "authors_fallback")])

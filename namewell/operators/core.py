@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from namewell.functions.names import conflict
+from namewell.operators.tables import ranked
 
 
 def merge_records(records: DataFrame) -> DataFrame:
@@ -26,39 +25,52 @@ def merge_records(records: DataFrame) -> DataFrame:
 
 
 def explode_mentions(records: DataFrame) -> DataFrame:
-    """One row an author position; blank names are dropped before positions are counted."""
-    pairs = F.filter(F.arrays_zip(F.col("authors").alias("a"), F.slice(F.concat("aff", F.array_repeat(F.lit(None).cast("string"), F.size("authors"))), F.lit(1), F.greatest(F.size("authors"), F.lit(1))).alias("f")), lambda x: F.trim(x["a"]) != "")
+    """One row an author position; blank names are dropped before positions are counted. A record without affiliations has null ones."""
+    pairs = F.filter(F.arrays_zip(F.col("authors").alias("a"), F.slice(F.concat(F.coalesce("aff", F.array().cast("array<string>")), F.array_repeat(F.lit(None).cast("string"), F.size("authors"))), F.lit(1), F.greatest(F.size("authors"), F.lit(1))).alias("f")), lambda x: F.trim(x["a"]) != "")
     return records.select("*", F.posexplode(pairs)).select(F.concat_ws("::", "bibcode", "pos").alias("mention_id"), "bibcode", F.col("pos").cast("long").alias("author_idx"), F.col("col.a").alias("author_raw"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"), "year", "source_type", F.col("col.f").alias("aff"))
 
 
-def block_sizes(mentions: DataFrame, cap: int | None = None) -> DataFrame:
-    pairs = F.expr("n_mentions * (n_mentions - 1) div 2")
-    return mentions.groupBy("block_key").agg(F.count("*").alias("n_mentions")).withColumn("pair_bound", F.least(pairs, F.lit(cap)) if cap else pairs)
+def dedup_stats(merged: DataFrame) -> DataFrame:
+    """One row: rows before, rows merged away, most rows of a key."""
+    return merged.agg(F.sum("n_rows").alias("input_rows"), F.sum(F.col("n_rows") - 1).alias("duplicate_rows"), F.max("n_rows").alias("max_per_key"))
+
+
+def with_canonical_id(merged: DataFrame) -> DataFrame:
+    """``merged`` with canonical_record_id, the 0-based rank of the key."""
+    return ranked(merged, ["bibcode"], "canonical_record_id")
+
+
+def with_order(mentions: DataFrame) -> DataFrame:
+    """``mentions`` with ``ord``, the rank by (bibcode, author_idx) that orients pairs and numbers labels."""
+    return ranked(mentions, ["bibcode", "author_idx"], "ord")
 
 
-def candidate_pairs(mentions: DataFrame, keep: list[str], same_split: bool = False) -> DataFrame:
-    """Unordered pairs inside a block, those of one publication left out; an equi-join on the block with the id order as residual."""
-    cols = ["mention_id", "block_key", "bibcode", *keep]
-    a = mentions.select(*[F.col(c).alias(f"{c}_1" if c != "block_key" else c) for c in cols])
-    b = mentions.select(*[F.col(c).alias(f"{c}_2" if c != "block_key" else c) for c in cols])
-    out = a.join(b, "block_key").where("mention_id_1 < mention_id_2 and not (bibcode_1 = bibcode_2 and bibcode_1 <> '')")
-    if same_split:
-        out = out.where("split_1 = split_2")
-    return out.withColumn("pair_id", F.concat_ws("__", "mention_id_1", "mention_id_2"))
+def block_manifest(mentions: DataFrame) -> DataFrame:
+    """(block_key, n), sorted."""
+    return mentions.groupBy("block_key").agg(F.count("*").alias("n")).orderBy("block_key")
 
 
-def pair_label(o1: Column, o2: Column) -> Column:
-    return F.when((F.coalesce(o1, F.lit("")) != "") & (F.coalesce(o2, F.lit("")) != ""), (o1 == o2).cast("int"))
+def block_summary(sizes: DataFrame) -> DataFrame:
+    """One row of ``block_sizes``: blocks, the largest, the 95th percentile, the share of blocks of one, pairs."""
+    return sizes.agg(F.count("*").alias("n_blocks"), F.max("n_mentions").alias("max_block"), F.percentile("n_mentions", 0.95).alias("p95"), F.avg((F.col("n_mentions") == 1).cast("double")).alias("singleton_ratio"), F.sum("pair_bound").alias("pairs"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def largest(df: DataFrame, by: str, name: str, k: int) -> DataFrame:
+    """The ``k`` rows of greatest ``by``, of equal ones by ``name``."""
+    return df.orderBy(F.desc(by), name).limit(k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine, not finite made 0, clipped to [-1, 1]."""
-    c = dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-8))
-    return F.greatest(F.least(F.when(F.isnan(c) | c.isNull() | (F.abs(c) == float("inf")), 0.0).otherwise(c), F.lit(1.0)), F.lit(-1.0))
+def complete(mentions: DataFrame, canonical: DataFrame, key: str = "bibcode") -> DataFrame:
+    """``canonical`` rows that ``mentions`` use; a mention whose record is missing is an error."""
+    lost = mentions.join(canonical.select(key), key, "left_anti").select(key).limit(5).collect()
+    if lost:
+        raise ValueError(f"mentions without a record: {[r[0] for r in lost]}")
+    return canonical.join(mentions.select(key), key, "left_semi")
+
+
+def block_sizes(mentions: DataFrame, cap: int | None = None) -> DataFrame:
+    pairs = F.expr("n_mentions * (n_mentions - 1) div 2")
+    return mentions.groupBy("block_key").agg(F.count("*").alias("n_mentions")).withColumn("pair_bound", F.least(pairs, F.lit(cap)) if cap else pairs)
 
 
 def constrained(distance: Column, clash: Column, gap: Column, *, name: str = "hard", year: str = "soft", name_floor: float = 0.75, year_floor: float = 0.65) -> Column:
@@ -82,30 +94,6 @@ def block_eps(n: Column, eps: float, buckets: list[tuple[int, int | None, float]
     return out
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(block_key, node, label) of connected components inside blocks; labels count components by their least node."""
-
-    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(left["node"].to_numpy())
-        parent = np.arange(len(ids))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for a, b in zip(np.searchsorted(ids, right["src"]), np.searchsorted(ids, right["dst"])):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        root = np.array([find(i) for i in range(len(ids))], dtype=np.int64)
-        return pd.DataFrame({"block_key": [key[0]] * len(ids), "node": ids, "label": np.searchsorted(np.unique(root), root)})
-
-    kind = dict(nodes.dtypes)
-    return nodes.groupBy("block_key").cogroup(edges.groupBy("block_key")).applyInPandas(solve, f"block_key {kind['block_key']}, node {kind['node']}, label long")
-
-
 def first_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
@@ -114,41 +102,3 @@ def name_clash(c1: Column, c2: Column) -> Column:
     return conflict(c1["given"], c1["surname"], c2["given"], c2["surname"])
 
 
-def dbscan(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """(block_key, node, label) of density clusters: core nodes have ``least`` nodes within eps, themselves included; a border node takes the least label beside it; noise is -1."""
-    both = edges.select("block_key", "src", "dst").union(edges.select("block_key", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    dense = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n")), "node", "left").where(F.coalesce("_n", F.lit(0)) + 1 >= least).select("block_key", "node")
-    inner = edges.join(dense.select(F.col("node").alias("src")), "src", "left_semi").join(dense.select(F.col("node").alias("dst")), "dst", "left_semi")
-    found = components(dense, inner.select("block_key", "src", "dst"))
-    beside = both.join(found.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_b"))
-    return nodes.join(found.select("node", "label"), "node", "left").join(beside, "node", "left").select("block_key", "node", F.coalesce("label", "_b", F.lit(-1)).cast("long").alias("label"))
-
-
-def threshold_sweep(scored: DataFrame, grid: list[int]) -> DataFrame:
-    """(grid, tp, fp, f1) of ``scored`` (bin, y): one histogram pass, then sums over the few bins."""
-    hist = scored.groupBy("bin").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("q"))
-    points = scored.sparkSession.createDataFrame([(g,) for g in grid], "grid int")
-    pos = hist.agg(F.sum("p").alias("pos"))
-    sums = F.broadcast(points).crossJoin(hist).groupBy("grid").agg(F.sum(F.when(F.col("bin") >= F.col("grid"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= F.col("grid"), F.col("q")).otherwise(0)).alias("fp"))
-    return sums.crossJoin(F.broadcast(pos)).select("grid", "tp", "fp", F.round(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos")), 6).alias("f1"))
-
-
-def partition_drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(block_key, changed): mentions whose cluster, told by its least mention and not by its label, differs."""
-    mark = lambda df, c: df.withColumn(c, F.min("mention_id").over(Window.partitionBy("block_key", "author_uid"))).select("mention_id", "block_key", c)
-    return mark(old, "s").join(mark(new, "t").drop("block_key"), "mention_id").groupBy("block_key").agg(F.count_if(F.col("s") != F.col("t")).alias("changed"))
-
-
-def balance(pairs: DataFrame) -> DataFrame:
-    """The larger class cut to the size of the smaller, by a hash of the pair; unlabelled pairs are left out."""
-    n = pairs.agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.md5("pair_id"), "pair_id"))
-    return pairs.where("label is not null").withColumn("_k", rank).crossJoin(F.broadcast(n)).where("_k <= _n").drop("_k", "_n")
-
-
-def assign_registry(members: DataFrame, registry: DataFrame, namespace: str) -> DataFrame:
-    """(cluster, uid): a cluster keeps the least identifier that its members have; the others get the next numbers, in order of their first mention."""
-    known = members.join(registry, "mention_id", "left").groupBy("cluster").agg(F.min("uid").alias("uid"), F.min("mention_id").alias("first_mention"))
-    top = registry.agg(F.coalesce(F.max(F.substring_index("uid", "au", -1).cast("long")), F.lit(0)).alias("_top"))
-    fresh = known.where("uid is null").withColumn("_n", F.row_number().over(Window.orderBy("first_mention"))).crossJoin(F.broadcast(top))
-    return known.where("uid is not null").select("cluster", "uid").unionByName(fresh.select("cluster", F.format_string(f"{namespace}::au%09d", F.col("_n") + F.col("_top")).alias("uid")))

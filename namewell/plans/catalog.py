@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from namewell.functions.names import ascii_fold, name_tokens, with_block_key
-from namewell.operators import core
+from namewell.functions.names import conflict, with_block_key, with_name_parts
+from namewell.operators import assign, compare, core, graph, metrics, pairs, registry, splits, vectors
+from namewell.operators.tables import cut
+from namewell.sources import readers
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -25,8 +27,8 @@ pubs as (select lpad(cast(o_orderkey as varchar), 12, '0') as bibcode, o_orderke
 lines as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as author_idx from lineitem),
 mentions as (select bibcode || '::' || author_idx as mention_id, bibcode, author_idx, year,
   case l_linenumber % 3 when 0 then 'Naám' || (l_partkey // 2) || ', ' || g when 1 then g || ' Naám' || (l_partkey // 2) else left(g, 1) || '. Naám' || (l_partkey // 2) end as author_raw,
-  'o' || l_partkey as orcid, l_shipmode_free as aff
-  from (select *, case when l_partkey % 2 = 0 then 'Jörg' else 'Jane' end as g, l_returnflag as l_shipmode_free from lines) join pubs on l_orderkey = k),
+  'o' || l_partkey as orcid, l_returnflag as aff
+  from (select *, case when l_partkey % 2 = 0 then 'Jörg' else 'Jane' end as g from lines) join pubs on l_orderkey = k),
 keyed as (select *, lower(left(case when contains(author_raw, ',') then trim(split_part(author_raw, ',', 2)) else author_raw end, 1)) || '.' ||
   lower(strip_accents(case when contains(author_raw, ',') then split_part(author_raw, ',', 1) else split_part(author_raw, ' ', 2) end)) as block_key from mentions),
 tok as (select *, split_part(block_key, '.', 2) as surname, lower(strip_accents(replace(case when contains(author_raw, ',') then trim(split_part(author_raw, ',', 2)) else split_part(author_raw, ' ', 1) end, '.', ''))) as given from keyed),
@@ -36,14 +38,20 @@ pairs as (select a.block_key, a.mention_id as m1, b.mention_id as m2, a.orcid as
 _VEC = f"""
 v as (select vec_id, label, embedding from embeddings),
 scores as (select a.label as block_key, a.vec_id as src, b.vec_id as dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine_sim from v a join v b on a.label = b.label and a.vec_id < b.vec_id),
-edges as (select block_key, src, dst from scores where 1 - cosine_sim <= {EPS})
+edges as (select block_key, src, dst from scores where (1 - cosine_sim)::float <= {EPS}::float),
+both_ways as (select block_key, src, dst from edges union all select block_key, dst, src from edges)
 """
 
 
-def query(name: str, sql: str, base: str = _BASE):
+#: Every vector's component: least node that it reaches, and its number in the block.
+_COMPONENTS = ", reach(node, seen) as (select vec_id, vec_id from v union select r.node, b.dst from reach r join both_ways b on r.seen = b.src), least as (select node, min(seen) as root from reach group by 1), comp as (select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from least join v on vec_id = node)"
+
+
+def query(name: str, sql: str | None, base: str = _BASE):
     def keep(fn):
         _Q[name] = fn
-        _SQL[name] = f"with recursive {base}{sql}" if sql.lstrip().startswith(",") else f"with {base} {sql}"
+        if sql is not None:
+            _SQL[name] = f"with recursive {base}{sql}" if sql.lstrip().startswith(",") else f"with {base} {sql}"
         return fn
 
     return keep
@@ -69,50 +77,75 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return with_block_key(_mentions(spark, d))
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    m = _keyed(spark, d)
-    names = m.select("author_raw").distinct().select(F.col("author_raw").alias("_r"), name_tokens(ascii_fold("author_raw")).alias("t"))
-    return m.join(names, F.col("author_raw") == F.col("_r")).select("mention_id", "bibcode", "year", "orcid", "block_key", "author_raw", F.col("t.given").alias("given"), F.col("t.surname").alias("surname"))
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return with_name_parts(_mentions(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str, *keep: str, **more) -> DataFrame:
+    return pairs.candidate_pairs(_parts(spark, d), list(keep), **{"with_id": False} | more)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return core.candidate_pairs(_tokens(spark, d), ["orcid", "year", "given", "surname"])
+def _clash() -> object:
+    return conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2"))
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a raw source: authors and affiliations of their lines, a title under one of two names, some years that are none."""
+    k = F.col("k")
+    lists = _mentions(spark, d).groupBy("bibcode").agg(F.array_sort(F.collect_list(F.struct("author_idx", "author_raw", "aff"))).alias("l"))
+    return _pubs(spark, d).join(lists, "bibcode", "left").select(
+        F.col("bibcode").alias("Bibcode"), F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "title")).alias("Title_en"), F.concat(F.lit("t"), k).alias("Title"), F.when(k % 7 == 0, F.concat("year", F.lit("x"))).when(k % 7 == 1, "999").otherwise(F.col("year").cast("string")).alias("Year"),
+        F.transform("l", lambda x: x.author_raw).alias("Author"), F.transform("l", lambda x: x.aff).alias("Affiliation"), k.alias("_row"),
+    )
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     p = _pubs(spark, d)
-    none = F.lit(None).cast("array<string>")
-    pub = p.select("bibcode", "title", F.lit("").alias("abstract"), F.lit(None).cast("int").alias("year"), none.alias("aff"), F.array(F.lit("a")).alias("authors"), F.lit("publication").alias("source_type"), F.col("k").alias("source_row_idx"))
-    ref = p.where("o_orderstatus = 'F'").select("bibcode", F.lit("").alias("title"), F.lit("ref abstract").alias("abstract"), "year", none.alias("aff"), F.array(F.lit("b")).alias("authors"), F.lit("reference").alias("source_type"), F.col("k").alias("source_row_idx"))
+    pub = p.select("bibcode", "title", F.lit("").alias("abstract"), F.lit(None).cast("int").alias("year"), F.array(F.lit(" ")).alias("aff"), F.array(F.lit("a"), F.lit("c")).alias("authors"), F.lit("publication").alias("source_type"), F.col("k").alias("source_row_idx"))
+    ref = p.where("o_orderstatus = 'F'").select("bibcode", F.lit("").alias("title"), F.lit("ref abstract").alias("abstract"), "year", F.array(F.lit("inst")).alias("aff"), F.array(F.lit("b")).alias("authors"), F.lit("reference").alias("source_type"), F.col("k").alias("source_row_idx"))
     return pub.unionByName(ref)
 
 
-@query("q01_source_normalize", "select bibcode, title, case when year between 1000 and 2500 then year end as year from pubs")
+@query("q01_source_normalize", "select bibcode, case when k % 5 = 0 then 't' || k else title end as title, case when k % 7 in (0, 1) then null else year end as year, k as source_row_idx, n as n_authors from pubs join (select bibcode, count(*) as n from mentions group by 1) using (bibcode)")
 def _(spark, d):
-    return _pubs(spark, d).select("bibcode", "title", F.when(F.col("year").between(1000, 2500), F.col("year")).alias("year"))
+    return readers.normalise(_raw(spark, d), "publication", F.col("_row")).select("bibcode", "title", "year", "source_row_idx", F.size("authors").cast("long").alias("n_authors"))
 
 
 @query("q02_author_split", "select bibcode, unnest(string_split(string_agg(replace(author_raw, ',', ''), ';' order by author_idx), ';')) as author_raw from mentions group by 1")
 def _(spark, d):
-    from namewell.sources.readers import split_names
-
     line = _mentions(spark, d).groupBy("bibcode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.regexp_replace("author_raw", ",", "").alias("r")))), lambda x: x.r), "; ").alias("names"))
-    return line.select("bibcode", F.explode(split_names(F.col("names"))).alias("author_raw"))
+    return line.select("bibcode", F.explode(readers.split_names(F.col("names"))).alias("author_raw"))
+
+
+@query("q03_affiliation_pad", "select m.bibcode, m.author_idx, case when m.author_idx = 0 then p.title end as aff from mentions m join pubs p using (bibcode)")
+def _(spark, d):
+    # the publication's list has one affiliation; the rest of the authors are padded with null
+    p = _pubs(spark, d).select("bibcode", F.array("title").alias("aff"))
+    n = _mentions(spark, d).groupBy("bibcode").agg(F.count("*").cast("int").alias("n")).join(p, "bibcode")
+    padded = n.select("bibcode", readers.affiliations(n, ["aff"], F.col("n")).alias("a"))
+    return padded.select("bibcode", F.posexplode("a").alias("author_idx", "aff")).withColumn("author_idx", F.col("author_idx").cast("long"))
 
 
-@query("q04_record_dedup", ", x as (select o_orderkey as k, o_orderstatus = 'F' as r from orders) select bibcode, title, case when r then 'ref abstract' else '' end as abstract, case when r then year end as year, case when r then 'publication+reference' else 'publication' end as source_type, 'publication' as canonical_source_type, k as canonical_source_row_idx, cast(case when r then 2 else 1 end as bigint) as n_rows from pubs join x using (k)")
+@query("q03b_affiliation_broadcast", "select m.bibcode, m.author_idx, p.title as aff from mentions m join pubs p using (bibcode)")
 def _(spark, d):
-    return core.merge_records(_records(spark, d)).drop("aff", "authors")
+    n = _mentions(spark, d).groupBy("bibcode").agg(F.count("*").cast("int").alias("n")).join(_pubs(spark, d).select("bibcode", F.col("title").alias("aff")), "bibcode")
+    whole = n.select("bibcode", readers.affiliations(n, ["aff"], F.col("n")).alias("a"))
+    return whole.select("bibcode", F.posexplode("a").alias("author_idx", "aff")).withColumn("author_idx", F.col("author_idx").cast("long"))
+
+
+@query("q04_record_dedup", ", x as (select o_orderkey as k, o_orderstatus = 'F' as r from orders) select bibcode, title, case when r then 'ref abstract' else '' end as abstract, case when r then year end as year, case when r then 'inst' end as aff, 'a|c' as authors, case when r then 'publication+reference' else 'publication' end as source_type, 'publication' as canonical_source_type, k as canonical_source_row_idx, cast(case when r then 2 else 1 end as bigint) as n_rows from pubs join x using (k)")
+def _(spark, d):
+    return core.merge_records(_records(spark, d)).withColumn("aff", F.array_join("aff", "|")).withColumn("authors", F.array_join("authors", "|"))
 
 
 @query("q05_dedup_stats", "select cast((select count(*) from orders) + (select count(*) from orders where o_orderstatus = 'F') as bigint) as input_rows, (select count(*) from orders where o_orderstatus = 'F') as duplicate_rows, cast(2 as bigint) as max_per_key")
 def _(spark, d):
-    return core.merge_records(_records(spark, d)).agg(F.sum("n_rows").alias("input_rows"), F.sum(F.col("n_rows") - 1).alias("duplicate_rows"), F.max("n_rows").alias("max_per_key"))
+    return core.dedup_stats(core.merge_records(_records(spark, d)))
 
 
-@query("q06_mentions", "select mention_id, bibcode, author_idx, author_raw, year, orcid, aff from mentions")
+@query("q06_mentions", "select mention_id, bibcode, author_idx, author_raw, case when k % 7 in (0, 1) then null else m.year end as year, aff from mentions m join (select k, bibcode from pubs) using (bibcode)")
 def _(spark, d):
-    return _mentions(spark, d).select("mention_id", "bibcode", "author_idx", "author_raw", "year", "orcid", "aff")
+    return core.explode_mentions(readers.normalise(_raw(spark, d), "publication", F.col("_row"))).select("mention_id", "bibcode", "author_idx", "author_raw", "year", "aff")
 
 
 @query("q07_block_key", "select mention_id, block_key from keyed")
@@ -127,28 +160,106 @@ def _(spark, d):
 
 @query("q08b_block_summary", "select count(*) as n_blocks, max(n_mentions) as max_block, round(quantile_cont(n_mentions, 0.95), 4) as p95, round(avg(case when n_mentions = 1 then 1.0 else 0.0 end), 6) as singleton_ratio, cast(sum(pair_bound) as bigint) as pairs from blocks")
 def _(spark, d):
-    return core.block_sizes(_keyed(spark, d)).agg(F.count("*").alias("n_blocks"), F.max("n_mentions").alias("max_block"), F.round(F.percentile("n_mentions", 0.95), 4).alias("p95"), F.round(F.avg(F.when(F.col("n_mentions") == 1, 1.0).otherwise(0.0)), 6).alias("singleton_ratio"), F.sum("pair_bound").alias("pairs"))
+    return core.block_summary(core.block_sizes(_keyed(spark, d))).withColumn("p95", F.round("p95", 4)).withColumn("singleton_ratio", F.round("singleton_ratio", 6))
+
+
+@query("q08c_capped_bound", "select cast(sum(least(pair_bound, 1000)) as bigint) as pairs, cast(sum(case when pair_bound > 1000 then 1 else 0 end) as bigint) as capped from blocks")
+def _(spark, d):
+    return core.block_sizes(_keyed(spark, d), 1000).agg(F.sum("pair_bound").alias("pairs"), F.count_if(F.expr("n_mentions * (n_mentions - 1) div 2 > 1000")).alias("capped"))
 
 
 @query("q09_pairs", "select m1 || '__' || m2 as pair_id, block_key from pairs")
 def _(spark, d):
-    return _pairs(spark, d).select("pair_id", "block_key")
+    return _pairs(spark, d, with_id=True).select("pair_id", "block_key")
+
+
+@query("q10_pairs_same_bibcode", "select a.block_key, count(*) as n from keyed a join keyed b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode = b.bibcode group by 1")
+def _(spark, d):
+    return _pairs(spark, d, same_bibcode=True).groupBy("block_key").agg(F.count("*").alias("n"))
+
+
+@query("q11_pairs_labeled", "select block_key, cast(o1 = o2 as int) as label, count(*) as n from (select * replace (case when m1 like '%1' then null else o1 end as o1) from pairs) where o1 is not null group by all")
+def _(spark, d):
+    m = _parts(spark, d)
+    # identities of the first side are unknown where its id ends in 1; such pairs have no label and are left out
+    made = pairs.candidate_pairs(m, ["orcid"], with_id=False).withColumn("orcid_1", F.when(F.col("mention_id_1").endswith("1"), "").otherwise(F.col("orcid_1")))
+    return made.select("block_key", pairs.pair_label(F.col("orcid_1"), F.col("orcid_2")).alias("label")).where("label is not null").groupBy("block_key", "label").agg(F.count("*").alias("n"))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    h = F.substring(F.md5("orcid"), 1, 1)
+    return _keyed(spark, d).withColumn("split", F.when(h < "8", "train").when(h < "c", "val").otherwise("test"))
+
+
+_SPLIT = ", s as (select *, case when left(md5(orcid), 1) < '8' then 'train' when left(md5(orcid), 1) < 'c' then 'val' else 'test' end as split from keyed)"
+
+
+@query("q12_pairs_same_split", f"{_SPLIT} select a.block_key, a.split, count(*) as n from s a join s b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode <> b.bibcode and a.split = b.split group by all")
+def _(spark, d):
+    return pairs.candidate_pairs(_split(spark, d), ["split"], same_split=True, with_id=False).groupBy("block_key", F.col("split_1").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("q12b_pairs_mixed_split", f"{_SPLIT} select a.block_key, case when a.split = b.split then a.split else 'mixed' end as split, count(*) as n from s a join s b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode <> b.bibcode group by all")
+def _(spark, d):
+    return pairs.candidate_pairs(_split(spark, d), ["split"], mixed=True, with_id=False).groupBy("block_key", "split").agg(F.count("*").alias("n"))
+
+
+_COUNTS = f"{_SPLIT}, c as (select block_key, split, orcid, count(*) as n from s group by all), lc as (select block_key, split, cast(sum(n * (n - 1) // 2) as bigint) as pos, cast(sum(n) * (sum(n) - 1) // 2 - sum(n * (n - 1) // 2) as bigint) as neg, cast(sum(n) * (sum(n) - 1) // 2 as bigint) as labeled_pairs from c group by all)"
 
 
-@query("q11_pairs_labeled", "select block_key, cast(o1 = o2 as int) as label, count(*) as n from pairs group by all")
+@query("q13_split_label_counts", f"{_COUNTS} select * from lc")
 def _(spark, d):
-    return _pairs(spark, d).select("block_key", core.pair_label(F.col("orcid_1"), F.col("orcid_2")).alias("label")).groupBy("block_key", "label").agg(F.count("*").alias("n"))
+    return splits.label_counts(_split(spark, d))
 
 
-@query("q13_split_label_counts", ", c as (select block_key, orcid, count(*) as n from keyed group by all) select block_key, cast(sum(n) * (sum(n) - 1) // 2 as bigint) as total, cast(sum(n * (n - 1) // 2) as bigint) as positive from c group by 1")
+@query("q13b_split_summary", f"{_COUNTS} select split, cast(sum(pos) as bigint) as pos, cast(sum(neg) as bigint) as neg, cast(sum(labeled_pairs) as bigint) as labeled_pairs from lc group by 1")
 def _(spark, d):
-    c = _keyed(spark, d).groupBy("block_key", "orcid").agg(F.count("*").alias("n"))
-    return c.groupBy("block_key").agg(F.expr("sum(n) * (sum(n) - 1) div 2").alias("total"), F.sum(F.expr("n * (n - 1) div 2")).alias("positive"))
+    return splits.split_summary(_split(spark, d))
+
+
+@query("q13c_split_leaks", ", s as (select *, case when author_idx = 0 then 'train' else 'val' end as split from mentions) select orcid, count(distinct split) as splits from s group by 1 having count(distinct split) > 1")
+def _(spark, d):
+    return splits.leaks(_mentions(spark, d).withColumn("split", F.when(F.col("author_idx") == 0, "train").otherwise("val")))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    v = _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
+    return graph.block_scores(v).withColumn("cosine_sim", F.round("cosine_sim", 6)).withColumn("distance", 1 - F.col("cosine_sim"))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges_within(_scores(spark, d), F.lit(EPS))
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.components(_nodes(spark, d), _edges(spark, d))
+    return found.select(F.col("node").cast("string").alias("mention_id"), "block_key", graph.uid(F.col("block_key"), F.col("label")).alias("author_uid"))
+
+
+@query("q14_pair_scores", "select block_key, src, dst, cosine_sim from scores", _VEC)
+def _(spark, d):
+    return _scores(spark, d).select("block_key", "src", "dst", "cosine_sim")
+
+
+@query("q15_score_range", "select round(min(cosine_sim), 5) as cosine_min, round(max(cosine_sim), 5) as cosine_max, round(min(1 - cosine_sim), 5) as distance_min, round(max(1 - cosine_sim), 5) as distance_max, cast(0 as bigint) as cosine_non_finite_count, cast(0 as bigint) as distance_non_finite_count, count_if(abs(cosine_sim) > 1) as cosine_out_of_range_count, count_if(1 - cosine_sim < 0) as negative_distance_count, count_if(1 - cosine_sim > 2) as distance_above_max_count, true as pair_score_range_ok from scores", _VEC)
+def _(spark, d):
+    out = metrics.score_ranges(_scores(spark, d))
+    return out.withColumns({c: F.round(c, 5) for c in ("cosine_min", "cosine_max", "distance_min", "distance_max")})
+
+
+@query("q15b_clamp_counts", "select count_if(cosine_sim is null) as cosine_non_finite, count_if(cosine_sim * 4 < -1) as cosine_below, count_if(cosine_sim * 4 > 1) as cosine_above, cast(0 as bigint) as distance_non_finite, count_if(0.8 - cosine_sim * 3 < 0) as distance_below, count_if(0.8 - cosine_sim * 3 > 2) as distance_above from scores", _VEC)
+def _(spark, d):
+    s = _scores(spark, d)
+    return metrics.clamp_counts(s.select((F.col("cosine_sim") * 4).alias("cosine_sim"), (F.lit(0.8) - F.col("cosine_sim") * 3).alias("distance")))
 
 
 @query("q16_name_tokens", "select distinct author_raw, given, surname from tok")
 def _(spark, d):
-    return _tokens(spark, d).select("author_raw", "given", "surname").distinct()
+    return _parts(spark, d).select("author_raw", "given", "surname").distinct()
 
 
 _CLASH = "case when g1 = '' or g2 = '' or g1 = g2 then false when left(g1, 1) <> left(g2, 1) then true when length(g1) <= 2 or length(g2) <= 2 then false when starts_with(g1, g2) or starts_with(g2, g1) then false else true end"
@@ -156,42 +267,43 @@ _CLASH = "case when g1 = '' or g2 = '' or g1 = g2 then false when left(g1, 1) <>
 
 @query("q17_name_conflict", f"select block_key, {_CLASH} as clash, count(*) as n from pairs group by all")
 def _(spark, d):
-    p = _pairs(spark, d)
-    return p.select("block_key", core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2")).alias("clash")).groupBy("block_key", "clash").agg(F.count("*").alias("n"))
+    return _pairs(spark, d, "given", "surname").select("block_key", _clash().alias("clash")).groupBy("block_key", "clash").agg(F.count("*").alias("n"))
+
+
+def _constrained(spark: SparkSession, d: str, **rules: str) -> DataFrame:
+    p = _pairs(spark, d, "given", "surname", "year")
+    dist = core.constrained(F.lit(0.2), _clash(), core.year_gap(F.col("year_1"), F.col("year_2"), 3), **rules)
+    return p.select("block_key", dist.alias("x")).groupBy("block_key").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
 
 
 @query("q18_constraints", f"select block_key, round(sum(cast(case when {_CLASH} then 1.0 when abs(y1 - y2) > 3 then greatest(0.2, 0.65) else 0.2 end as double)), 4) as total, count(*) as n from pairs group by 1")
 def _(spark, d):
-    p = _pairs(spark, d)
-    clash = core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2"))
-    dist = core.constrained(F.lit(0.2), clash, core.year_gap(F.col("year_1"), F.col("year_2"), 3))
     # name first, then year: a hard clash stays 1
-    return p.select("block_key", dist.alias("x")).groupBy("block_key").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
+    return _constrained(spark, d)
 
 
-@query("q20_block_eps", "select block_key, cast(case when n_mentions between 1 and 20 then 0.4 when n_mentions between 21 and 50 then 0.35 else 0.3 end as double) as eps from blocks")
+@query("q18b_constraints_soft", f"select block_key, round(sum(cast(case when {_CLASH} then 0.75 when abs(y1 - y2) > 3 then 0.65 else 0.2 end as double)), 4) as total, count(*) as n from pairs group by 1")
 def _(spark, d):
-    return core.block_sizes(_keyed(spark, d)).select("block_key", F.round(core.block_eps(F.col("n_mentions"), 0.35, [(1, 20, 0.05), (21, 50, 0.0), (51, None, -0.05)]), 6).alias("eps"))
+    return _constrained(spark, d, name="soft", year="soft")
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    v = _table(spark, d, "embeddings")
-    a, b = v.select(F.col("label").alias("block_key"), F.col("vec_id").alias("src"), F.col("embedding").alias("ea")), v.select(F.col("label").alias("block_key"), F.col("vec_id").alias("dst"), F.col("embedding").alias("eb"))
-    return a.join(b, "block_key").where("src < dst").select("block_key", "src", "dst", F.round(core.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine_sim"))
+@query("q19_constraints_hard", f"select block_key, round(sum(cast(case when {_CLASH} or abs(y1 - y2) > 3 then 1.0 else 0.2 end as double)), 4) as total, count(*) as n from pairs group by 1")
+def _(spark, d):
+    return _constrained(spark, d, name="hard", year="hard")
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).where(f"1 - cosine_sim <= {EPS}").select("block_key", "src", "dst")
+_BUCKETS = [(1, 20, 0.05), (21, 50, 0.0), (51, None, -0.05)]
 
 
-@query("q14_pair_scores", "select block_key, src, dst, cosine_sim from scores", _VEC)
+@query("q20_block_eps", "select block_key, cast(case when n_mentions between 1 and 20 then 0.4 when n_mentions between 21 and 50 then 0.35 else 0.3 end as double) as eps from blocks")
 def _(spark, d):
-    return _scores(spark, d)
+    return core.block_sizes(_keyed(spark, d)).select("block_key", F.round(core.block_eps(F.col("n_mentions"), 0.35, _BUCKETS), 6).alias("eps"))
 
 
-@query("q15_score_range", "select count(*) as n, count_if(abs(cosine_sim) > 1) as out_of_range, count_if(cosine_sim is null) as missing, round(min(cosine_sim), 5) as low, round(max(cosine_sim), 5) as high from scores", _VEC)
+@query("q20b_eps_summary", ", e as (select case when n_mentions <= 20 then '1-20' when n_mentions <= 50 then '21-50' else '51-inf' end as bucket, case when n_mentions <= 20 then 0.4 when n_mentions <= 50 then 0.35 else 0.3 end as e from blocks) select bucket, count(*) as blocks, cast(min(e) as double) as eps_min, cast(max(e) as double) as eps_max, round(cast(avg(e) as double), 6) as eps_mean from e group by 1")
 def _(spark, d):
-    return _scores(spark, d).agg(F.count("*").alias("n"), F.count_if(F.abs("cosine_sim") > 1).alias("out_of_range"), F.count_if(F.col("cosine_sim").isNull()).alias("missing"), F.round(F.min("cosine_sim"), 5).alias("low"), F.round(F.max("cosine_sim"), 5).alias("high"))
+    out = metrics.eps_summary(core.block_sizes(_keyed(spark, d)), 0.35, _BUCKETS)
+    return out.withColumns({c: F.round(c, 6) for c in ("eps_min", "eps_max", "eps_mean")})
 
 
 @query("q21_edges", "select * from edges", _VEC)
@@ -199,108 +311,244 @@ def _(spark, d):
     return _edges(spark, d)
 
 
-@query("q22_components", ", both_ways as (select block_key, src, dst from edges union all select block_key, dst, src from edges), reach(node, seen) as (select vec_id, vec_id from v union select r.node, b.dst from reach r join both_ways b on r.seen = b.src), least as (select node, min(seen) as root from reach group by 1) select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from least join v on vec_id = node", _VEC)
+@query("q21b_edges_by_block_eps", ", n as (select label, count(*) as n from v group by 1) select block_key, src, dst from scores join n on label = block_key where (1 - cosine_sim)::float <= (case when n > 50 then 0.7 else 0.75 end)::float", _VEC)
 def _(spark, d):
-    nodes = _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"))
-    return core.components(nodes, _edges(spark, d))
+    sizes = _nodes(spark, d).groupBy("block_key").agg(F.count("*").alias("n")).select("block_key", core.block_eps(F.col("n"), 0.75, [(51, None, -0.05)]).alias("eps"))
+    return graph.edges_within(_scores(spark, d).join(sizes, "block_key"), F.round("eps", 6))
 
 
-@query("q25_entities", ", c as (select orcid, author_raw, count(*) as n from mentions group by all), b as (select orcid, arg_min(author_raw, (-n, author_raw)) as author_display_name, string_agg(author_raw, '|' order by n desc, author_raw) as aliases from c group by 1), s as (select orcid, count(*) as mention_count, count(distinct bibcode) as document_count from mentions group by 1) select orcid as author_uid, author_display_name, aliases, mention_count, document_count from b join s using (orcid)")
+@query("q22_components", f"{_COMPONENTS} select * from comp", _VEC)
 def _(spark, d):
+    return graph.components(_nodes(spark, d), _edges(spark, d))
+
+
+@query("q22b_components_by_rounds", f"{_COMPONENTS} select * from comp", _VEC)
+def _(spark, d):
+    """Every block treated as a giant one."""
+    return graph.components(_nodes(spark, d), _edges(spark, d), most=1)
+
+
+_DBSCAN = ", core as (select src as node from both_ways group by 1 having count(*) >= {least}), cc as (select b.src, b.dst from both_ways b join core x on b.src = x.node join core y on b.dst = y.node), reach(node, seen) as (select node, node from core union select r.node, c.dst from reach r join cc c on r.seen = c.src), root as (select node, min(seen) as root from reach group by 1), lab as (select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from root join v on vec_id = node), border as (select b.src as node, min(l.label) as label from both_ways b join lab l on b.dst = l.node where b.src not in (select node from core) group by 1) select v.label as block_key, v.vec_id as node, coalesce(l.label, b.label, -1) as label from v left join lab l on l.node = v.vec_id left join border b on b.node = v.vec_id"
+
+
+@query("q23_dbscan_minpts2", _DBSCAN.format(least=1), _VEC)
+def _(spark, d):
+    return graph.dbscan(_nodes(spark, d), _edges(spark, d), 2)
+
+
+@query("q23b_dbscan_minpts3", _DBSCAN.format(least=2), _VEC)
+def _(spark, d):
+    return graph.dbscan(_nodes(spark, d), _edges(spark, d), 3)
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as publications, finished ones again as references; mentions of every tenth order have no cluster."""
     m = _mentions(spark, d)
-    c = m.groupBy("orcid", "author_raw").agg(F.count("*").alias("n"))
-    names = c.groupBy("orcid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "author_raw"))), lambda x: x.author_raw).alias("a"))
-    sizes = m.groupBy("orcid").agg(F.count("*").alias("mention_count"), F.count_distinct("bibcode").alias("document_count"))
-    return names.join(sizes, "orcid").select(F.col("orcid").alias("author_uid"), F.element_at("a", 1).alias("author_display_name"), F.array_join("a", "|").alias("aliases"), "mention_count", "document_count")
+    p = _pubs(spark, d).select("bibcode", "k", "o_orderstatus")
+    rows = m.join(p, "bibcode")
+    position = lambda df, kind: df.select(F.lit(kind).alias("source_type"), F.col("k").alias("source_row_idx"), "bibcode", "author_idx", "author_raw")
+    positions = position(rows, "publication").unionByName(position(rows.where("o_orderstatus = 'F'"), "reference"))
+    clusters = rows.where("k % 10 <> 0").select("mention_id", F.col("orcid").alias("author_uid"))
+    own = p.select("bibcode", F.lit("publication").alias("canonical_source_type"), F.col("k").alias("canonical_source_row_idx"))
+    return assign.assignments(positions, clusters, own, "ns")
+
+
+_ASSIGNED = ", pos as (select 'publication' as source_type, k as source_row_idx, m.* from mentions m join pubs using (bibcode) union all select 'reference', o_orderkey, m.* from mentions m join pubs p using (bibcode) join orders on o_orderkey = p.k where o_orderstatus = 'F'), asg as (select source_type, source_row_idx, bibcode, author_idx, author_raw, case when source_row_idx % 10 = 0 then 'src.' || source_type || '.' || source_row_idx || '.' || author_idx else orcid end as author_uid_local, case when source_row_idx % 10 = 0 then 'src::' || source_type || '::' || source_row_idx || '::' || author_idx else mention_id end as canonical_mention_id, case when source_row_idx % 10 = 0 then 'fallback_unmatched' when source_type = 'publication' then 'canonical' else 'projected_duplicate' end as assignment_kind from pos), a as (select *, 'ns::' || author_uid_local as author_uid from asg)"
 
 
-@query("q26_mirror", ", l as (select bibcode, string_agg(orcid, '|' order by author_idx) as author_uids from mentions group by 1) select bibcode, title, coalesce(author_uids, '') as author_uids from pubs left join l using (bibcode)")
+@query("q24_assignments", f"{_ASSIGNED} select source_type, source_row_idx, bibcode, author_idx, author_raw, author_uid, author_uid_local, canonical_mention_id, assignment_kind from a")
 def _(spark, d):
-    lists = _mentions(spark, d).groupBy("bibcode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", "orcid"))), lambda x: x.orcid), "|").alias("author_uids"))
-    return _pubs(spark, d).join(lists, "bibcode", "left").select("bibcode", "title", F.coalesce("author_uids", F.lit("")).alias("author_uids"))
+    return _assigned(spark, d)
 
 
-@query("q28_pairwise_metrics", f", p as (select o1 = o2 as y, not ({_CLASH}) as hit from pairs) select count_if(y and hit) as tp, count_if(not y and hit) as fp, count_if(y and not hit) as fn, count_if(not y and not hit) as tn, round(count_if(y and hit) / count_if(hit), 6) as precision, round(count_if(y and hit) / count_if(y), 6) as recall from p")
+@query("q25_entities", f"{_ASSIGNED}, c as (select author_uid, author_raw, count(*) as n from a group by all), b as (select author_uid, arg_min(author_raw, (-n, author_raw)) as author_display_name, string_agg(author_raw, '|' order by n desc, author_raw) as aliases from c group by 1), s as (select author_uid, min(author_uid_local) as author_uid_local, count(*) as mention_count, count(distinct (source_type, source_row_idx)) as document_count, count(distinct canonical_mention_id) as unique_mention_count from a group by 1) select author_uid, author_uid_local, author_display_name, aliases, mention_count, document_count, unique_mention_count from b join s using (author_uid)")
 def _(spark, d):
-    p = _pairs(spark, d).select((F.col("orcid_1") == F.col("orcid_2")).alias("y"), (~core.conflict(F.col("given_1"), F.col("surname_1"), F.col("given_2"), F.col("surname_2"))).alias("hit"))
-    out = p.agg(F.count_if(F.col("y") & F.col("hit")).alias("tp"), F.count_if(~F.col("y") & F.col("hit")).alias("fp"), F.count_if(F.col("y") & ~F.col("hit")).alias("fn"), F.count_if(~F.col("y") & ~F.col("hit")).alias("tn"))
-    return out.select("*", F.round(F.expr("tp / (tp + fp)"), 6).alias("precision"), F.round(F.expr("tp / (tp + fn)"), 6).alias("recall"))
+    return assign.entities(_assigned(spark, d)).withColumn("aliases", F.array_join("aliases", "|")).drop("display_name_method")
 
 
-@query("q30_mean_sem", "select label as variant, round(avg(embedding[1]), 5) as mean, round(stddev_samp(embedding[1]) / sqrt(count(*)), 5) as sem from v group by 1", _VEC)
+@query("q26_mirror", f"{_ASSIGNED}, l as (select source_row_idx, string_agg(author_uid, '|' order by author_idx) as u, string_agg(author_raw, '|' order by author_idx) as n from a where source_type = 'publication' group by 1) select k as source_row_idx, title, coalesce(u, '') as author_uids, coalesce(n, '') as author_names from pubs left join l on k = source_row_idx")
 def _(spark, d):
-    x = F.col("embedding")[0].cast("double")
-    return _table(spark, d, "embeddings").groupBy(F.col("label").alias("variant")).agg(F.round(F.avg(x), 5).alias("mean"), F.round(F.stddev_samp(x) / F.sqrt(F.count("*")), 5).alias("sem"))
+    a = _assigned(spark, d).where("source_type = 'publication'").withColumn("author_display_name", F.col("author_raw"))
+    n = _mentions(spark, d).groupBy("bibcode").agg(F.count("*").cast("int").alias("n_authors"))
+    raw = _pubs(spark, d).join(n, "bibcode", "left").select(F.col("k").alias("source_row_idx"), "title", F.coalesce("n_authors", F.lit(0)).alias("n_authors"), F.lit("stale").alias("AuthorUID"))
+    made, _ = assign.mirror(raw, a)
+    return made.select("source_row_idx", "title", F.array_join("AuthorUID", "|").alias("author_uids"), F.array_join("AuthorDisplayName", "|").alias("author_names"))
 
 
-@query("q38_block_manifest", "select block_key, count(*) as n from keyed group by 1 order by 1")
+@query("q27_cluster_qc", f"{_COMPONENTS}, j as (select s.cosine_sim as c, x.label = y.label as same from scores s join comp x on x.node = s.src join comp y on y.node = s.dst), z as (select block_key, label, count(*) as n from comp group by all) select count(*) as n_pairs_evaluated, count_if(same and c < 0.3) as merged_low_conf_count, count_if(not same and c >= 0.3) as split_high_sim_count, count_if(same and c < 0.1) as merged_low_conf_count_probe, count_if(not same and c >= 0.1) as split_high_sim_count_probe, round(count_if(not same and c >= 0.1) / count(*), 6) as split_high_sim_rate_probe, (select count(*) from z) as cluster_count, (select round(avg(case when n = 1 then 1.0 else 0.0 end), 6) from z) as singleton_ratio from j", _VEC)
 def _(spark, d):
-    return _keyed(spark, d).groupBy("block_key").agg(F.count("*").alias("n")).orderBy("block_key")
+    s = _scores(spark, d).withColumn("mention_id_1", F.col("src").cast("string")).withColumn("mention_id_2", F.col("dst").cast("string"))
+    q = metrics.cluster_quality(s, _clusters(spark, d), 0.3, 0.1)
+    return q.select("n_pairs_evaluated", "merged_low_conf_count", "split_high_sim_count", "merged_low_conf_count_probe", "split_high_sim_count_probe", F.round("split_high_sim_rate_probe", 6).alias("split_high_sim_rate_probe"), "cluster_count", F.round("singleton_ratio", 6).alias("singleton_ratio"))
 
 
-@query("q39_largest_blocks", "select block_key, n_mentions from blocks order by n_mentions desc, block_key limit 20")
+@query("q28_pairwise_metrics", f", p as (select o1 = o2 as y, not ({_CLASH}) as hit from pairs), m as (select count_if(y and hit) as tp, count_if(not y and hit) as fp, count_if(y and not hit) as fn, count_if(not y and not hit) as tn, count(*) as n_pairs from p) select *, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1, round((tp + tn) / n_pairs, 6) as accuracy from m")
 def _(spark, d):
-    return core.block_sizes(_keyed(spark, d)).select("block_key", "n_mentions").orderBy(F.desc("n_mentions"), "block_key").limit(20)
+    p = _pairs(spark, d, "orcid", "given", "surname").select("label", (~_clash()).alias("hit"))
+    return metrics.class_metrics(p).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
+
+
+_SIM = ", p as (select (700 - 100 * abs(y1 - y2) + case when o1 = o2 then 250 else 0 end) / 1000.0 as sim, o1 = o2 as y from pairs), h as (select greatest(least(cast(floor(round((sim + 1) * 1000, 5)) as int), 2000), -1) as bin, count_if(y) as p, count_if(not y) as q from p group by 1), n as (select sum(p) as pos, sum(q) as neg from h), t as (select g as grid, coalesce(sum(p), 0) as tp, coalesce(sum(q), 0) as fp from (select unnest(range(0, 2001)) as g) left join h on bin >= g group by 1), w as (select *, tp / greatest(tp + fp, 1) as precision, tp / pos as recall, 2 * tp / (tp + fp + pos) as f1, (tp + neg - fp) / (pos + neg) as accuracy from t, n)"
+
 
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d, "orcid", "year")
+    y = F.col("orcid_1") == F.col("orcid_2")
+    return p.select(((F.lit(700) - 100 * F.abs(F.col("year_1") - F.col("year_2")) + F.when(y, 250).otherwise(0)) / 1000.0).alias("sim"), y.alias("y"))
 
-@query("q40_semi_anti", "select (select count(*) from pubs where bibcode in (select bibcode from mentions)) as with_mentions, (select count(*) from pubs where bibcode not in (select bibcode from mentions)) as without_mentions")
+
+@query("q29_threshold_sweep", f"{_SIM} select cast(grid as int) as grid, cast(tp as bigint) as tp, cast(fp as bigint) as fp, round(f1, 6) as f1 from w")
 def _(spark, d):
-    p, m = _pubs(spark, d), _mentions(spark, d)
-    a, b = p.join(m, "bibcode", "left_semi").agg(F.count("*").alias("with_mentions")), p.join(m, "bibcode", "left_anti").agg(F.count("*").alias("without_mentions"))
-    return a.crossJoin(b)
+    return metrics.threshold_sweep(_similar(spark, d)).select("grid", "tp", "fp", F.round("f1", 6).alias("f1"))
 
 
-@query("q03_affiliation_pad", "select bibcode, unnest(range(n)) as author_idx, 'org' as aff from (select bibcode, count(*) as n from mentions group by 1) where false union all select m.bibcode, m.author_idx, case when m.author_idx = 0 then p.title end from mentions m join pubs p using (bibcode)")
+@query("q29b_best_threshold", f"{_SIM}, b as (select * from w order by round(f1, 12) desc, least(grid, 2000 - grid) desc, grid desc limit 1) select round(grid / 1000 - 1, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, round(accuracy, 6) as accuracy, 'ok' as status, 'val_f1_opt' as source from b")
 def _(spark, d):
-    # the publication's list has one affiliation; the rest of the authors are padded with null
-    p = _pubs(spark, d).select("bibcode", F.array("title").alias("aff"))
-    n = _mentions(spark, d).groupBy("bibcode").agg(F.count("*").cast("int").alias("n")).join(p, "bibcode")
-    from namewell.sources.readers import affiliations
+    return metrics.best_threshold(_similar(spark, d)).withColumns({c: F.round(c, 6) for c in ("threshold", "precision", "recall", "f1", "accuracy")})
 
-    padded = n.select("bibcode", affiliations(n, ["aff"], F.col("n")).alias("a"))
-    return padded.select("bibcode", F.posexplode("a").alias("author_idx", "aff")).withColumn("author_idx", F.col("author_idx").cast("long"))
+
+@query("q30_mean_sem", ", x as (select label, unnest(embedding) as e from v) select label as variant, count(*) as n, round(avg(e), 5) as mean, round(stddev_samp(e) / sqrt(count(*)), 5) as sem from x group by 1", _VEC)
+def _(spark, d):
+    x = _table(spark, d, "embeddings").select(F.col("label").alias("variant"), F.explode("embedding").alias("e")).withColumn("e", F.col("e").cast("double"))
+    return metrics.mean_sem(x, "variant", "e").withColumn("mean", F.round("mean", 5)).withColumn("sem", F.round("sem", 5))
 
 
-@query("q12_pairs_same_split", ", s as (select *, left(md5(orcid), 1) < '8' as train from keyed) select a.block_key, a.train, count(*) as n from s a join s b on a.block_key = b.block_key and a.mention_id < b.mention_id and a.bibcode <> b.bibcode and a.train = b.train group by all")
+@query("q30b_seed_report", ", r as (select label as variant, vec_id % 5 as seed, avg(embedding[1]) as f1, avg(embedding[2]) as precision, avg(embedding[3]) as recall, avg(embedding[4]) as accuracy, count(*) as n_pairs from v group by all) select variant, count(*) as seed_count, round(avg(f1), 5) as f1_mean, round(stddev_samp(f1) / sqrt(count(*)), 5) as f1_sem, round(avg(n_pairs), 5) as n_pairs_mean, cast(sum(n_pairs) as bigint) as n_pairs_total from r group by 1", _VEC)
 def _(spark, d):
-    m = _keyed(spark, d).withColumn("split", F.substring(F.md5("orcid"), 1, 1) < "8")
-    return core.candidate_pairs(m, ["split"], same_split=True).groupBy("block_key", F.col("split_1").alias("train")).agg(F.count("*").alias("n"))
+    e = lambda i: F.avg(F.col("embedding")[i].cast("double"))
+    rows = _table(spark, d, "embeddings").groupBy(F.col("label").alias("variant"), (F.col("vec_id") % 5).alias("seed")).agg(e(0).alias("f1"), e(1).alias("precision"), e(2).alias("recall"), e(3).alias("accuracy"), F.count("*").alias("n_pairs"))
+    return metrics.seed_report(rows).select("variant", "seed_count", F.round("f1_mean", 5).alias("f1_mean"), F.round("f1_sem", 5).alias("f1_sem"), F.round("n_pairs_mean", 5).alias("n_pairs_mean"), "n_pairs_total")
+
+
+def _registered(spark: SparkSession, d: str, cluster, known: str = "author_idx = 0") -> DataFrame:
+    """A first run over first authors by identity, then a run over all of them by ``cluster``."""
+    m = cut(_mentions(spark, d), "mentions")
+    _, kept, _ = registry.assign(m.where(known).select("mention_id", F.col("orcid").alias("author_uid")), registry.empty(spark), "ns")
+    named, _, _ = registry.assign(m.select("mention_id", cluster.alias("author_uid")), kept, "ns")
+    return named
 
 
-@query("q23_dbscan_minpts3", f", both_ways as (select block_key, src, dst from edges union all select block_key, dst, src from edges), core as (select src as node from both_ways group by 1 having count(*) >= 2), cc as (select b.src, b.dst from both_ways b join core x on b.src = x.node join core y on b.dst = y.node), reach(node, seen) as (select node, node from core union select r.node, c.dst from reach r join cc c on r.seen = c.src), root as (select node, min(seen) as root from reach group by 1), lab as (select v.label as block_key, node, dense_rank() over (partition by v.label order by root) - 1 as label from root join v on vec_id = node), border as (select b.src as node, min(l.label) as label from both_ways b join lab l on b.dst = l.node where b.src not in (select node from core) group by 1) select v.label as block_key, v.vec_id as node, coalesce(l.label, b.label, -1) as label from v left join lab l on l.node = v.vec_id left join border b on b.node = v.vec_id", _VEC)
+@query("q31_registry_assign", ", u as (select orcid, min(mention_id) as first_mention, min(case when author_idx = 0 then mention_id end) as first_known from mentions group by 1), k as (select count(first_known) as n from u) select orcid, 'ns::au' || lpad(cast(case when first_known is not null then row_number() over (partition by first_known is null order by first_known) else k.n + row_number() over (partition by first_known is null order by first_mention) end as varchar), 9, '0') as uid from u, k")
 def _(spark, d):
-    nodes = _table(spark, d, "embeddings").select(F.col("label").alias("block_key"), F.col("vec_id").alias("node"))
-    return core.dbscan(nodes, _edges(spark, d), 3)
+    return _registered(spark, d, F.col("orcid")).select(F.col("author_uid_local").alias("orcid"), F.col("author_uid").alias("uid")).distinct()
 
 
-@query("q29_threshold_sweep", f", p as (select cast(ceil((1 - abs(y1 - y2) / 10.0 + case when o1 = o2 then 0.05 else 0 end) * 1000) as int) as bin, o1 = o2 as y from pairs), t as (select g, count_if(y and bin >= g) as tp, count_if(not y and bin >= g) as fp from p cross join (select unnest(range(0, 1101, 50)) as g) group by 1), n as (select count_if(y) as pos from p) select cast(g as int) as grid, tp, fp, round(2.0 * tp / (tp + fp + pos), 6) as f1 from t, n")
+@query("q31b_registry_merges", ", u as (select orcid, min(case when author_idx = 0 then mention_id end) as first_known from mentions group by 1), old as (select orcid, 'ns::au' || lpad(cast(row_number() over (order by first_known) as varchar), 9, '0') as uid from u where first_known is not null), c as (select cast(cast(substr(orcid, 2) as bigint) // 3 as varchar) as cluster, mention_id, orcid from mentions), r as (select cluster, min(uid) as uid, min(mention_id) as first_mention from c left join old using (orcid) group by 1), k as (select count(*) as n from old) select cluster, coalesce(uid, 'ns::au' || lpad(cast(k.n + row_number() over (partition by uid is null order by first_mention) as varchar), 9, '0')) as uid from r, k")
 def _(spark, d):
-    p = _pairs(spark, d).select((F.col("orcid_1") == F.col("orcid_2")).alias("y"), F.abs(F.col("year_1") - F.col("year_2")).alias("gap"))
-    bins = F.ceil((F.lit(1).cast("decimal(10,4)") - F.col("gap").cast("decimal(10,4)") / 10 + F.when(F.col("y"), F.lit("0.05").cast("decimal(10,4)")).otherwise(F.lit(0).cast("decimal(10,4)"))) * 1000).cast("int")
-    return core.threshold_sweep(p.select(bins.alias("bin"), "y"), list(range(0, 1101, 50)))
+    """Three identities become one cluster: their numbers become one."""
+    return _registered(spark, d, F.expr("cast(cast(substr(orcid, 2) as bigint) div 3 as string)")).select(F.col("author_uid_local").alias("cluster"), F.col("author_uid").alias("uid")).distinct()
 
 
-@query("q32_partition_drift", ", a as (select mention_id, block_key, orcid as u from keyed), b as (select mention_id, block_key, case when author_idx = 0 then orcid else block_key end as u from keyed), sa as (select *, min(mention_id) over (partition by block_key, u) as s from a), sb as (select *, min(mention_id) over (partition by block_key, u) as s from b) select sa.block_key, count_if(sa.s <> sb.s) as changed from sa join sb using (mention_id) group by 1")
+@query("q32_partition_drift", ", a as (select mention_id, block_key, orcid as u from keyed where author_idx <> 3), b as (select mention_id, block_key, case when author_idx = 0 then orcid else block_key end as u from keyed where author_idx <> 4), sa as (select *, min(mention_id) over (partition by block_key, u) as s from a), sb as (select *, min(mention_id) over (partition by block_key, u) as s from b), j as (select mention_id, block_key, sa.u as u1, sb.u as u2, sa.s as s1, sb.s as s2 from sa full join sb using (mention_id, block_key)) select block_key, count(*) as mentions, count(distinct u1) as baseline_clusters, count(distinct u2) as current_clusters, case when count_if(s1 is distinct from s2) > 0 then count_if(u1 is distinct from u2) else 0 end as changed, count_if(s1 is distinct from s2) > 0 as drifts from j group by 1")
 def _(spark, d):
     m = _keyed(spark, d)
-    old = m.select("mention_id", "block_key", F.col("orcid").alias("author_uid"))
-    new = m.select("mention_id", "block_key", F.when(F.col("author_idx") == 0, F.col("orcid")).otherwise(F.col("block_key")).alias("author_uid"))
-    return core.partition_drift(old, new)
+    old = m.where("author_idx <> 3").select("mention_id", "block_key", F.col("orcid").alias("author_uid"))
+    new = m.where("author_idx <> 4").select("mention_id", "block_key", F.when(F.col("author_idx") == 0, F.col("orcid")).otherwise(F.col("block_key")).alias("author_uid"))
+    return compare.partition_drift(old, new)
+
+
+@query("q33_subset_quota", ", e as (select count(*) // 4 as t from keyed), b as (select block_key, round(-ln((cast('0x' || left(md5('11::block::' || block_key), 12) as bigint) + 1.0::double) / 281474976710657.0::double) / count(*), 12) as k from keyed group by 1 having count(*) >= 2), dr as (select block_key from (select *, row_number() over (order by k, block_key) as r from b), e where r <= greatest(1, round(t / 2.0))), r as (select m.*, md5('11::row::' || mention_id) as h, m.block_key in (select block_key from dr) as inn from keyed m), q as (select *, row_number() over (partition by block_key order by h, mention_id) as i from r), z as (select *, row_number() over (order by case when inn and i <= 2 then 0 when inn then 1 else 2 end, h, mention_id) as o from q) select mention_id, block_key, 'mini' as subset_stage from z, e where o <= t")
+def _(spark, d):
+    m = cut(_keyed(spark, d), "keyed")
+    return splits.stage_subset(m, m.count() // 4, 11, "mini").select("mention_id", "block_key", "subset_stage")
 
 
 @query("q34_balance", ", p as (select m1 || '__' || m2 as pair_id, o1 = o2 as y from pairs), r as (select *, row_number() over (partition by y order by md5(pair_id), pair_id) as k from p), n as (select least(count_if(y), count_if(not y)) as n from p) select cast(y as int) as label, count(*) as n, min(pair_id) as first_id, max(pair_id) as last_id from r, n where k <= n.n group by 1")
 def _(spark, d):
-    p = _pairs(spark, d).select("pair_id", core.pair_label(F.col("orcid_1"), F.col("orcid_2")).alias("label"))
-    return core.balance(p).groupBy("label").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_id"), F.max("pair_id").alias("last_id"))
+    p = cut(_pairs(spark, d, "orcid", with_id=True).select("pair_id", "label"), "pairs")
+    return pairs.balance(p).groupBy("label").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_id"), F.max("pair_id").alias("last_id"))
 
 
-@query("q31_registry_assign", ", known as (select mention_id, orcid from mentions where author_idx = 0), u as (select orcid, min(mention_id) as first_mention, bool_or(author_idx = 0) as had from mentions group by 1), f as (select orcid, 'ns::au' || lpad(cast(row_number() over (order by min(mention_id)) as varchar), 9, '0') as uid from known group by 1), k as (select count(*) as n from f) select orcid, coalesce(f.uid, 'ns::au' || lpad(cast(k.n + row_number() over (partition by f.uid is null order by first_mention) as varchar), 9, '0')) as uid from u left join f using (orcid), k")
+@query("q35_pair_cap", "select block_key, cast(least(pair_bound, 50) as bigint) as n, cast(least(pair_bound, 50) as bigint) as different from blocks where n_mentions > 1")
 def _(spark, d):
-    m = _mentions(spark, d)
-    order = Window.orderBy("first_mention")
-    known = m.where("author_idx = 0").groupBy("orcid").agg(F.min("mention_id").alias("first_mention")).withColumn("uid", F.format_string("ns::au%09d", F.row_number().over(order)))
-    registry = m.where("author_idx = 0").join(known.select("orcid", "uid"), "orcid").select("mention_id", "uid")
-    return core.assign_registry(m.select("mention_id", F.col("orcid").alias("cluster")), registry, "ns").withColumnRenamed("cluster", "orcid")
+    """How many pairs each block has under a cap, and that none comes twice; which pairs are drawn is a generator's affair (tests)."""
+    made = pairs.capped_pairs(_keyed(spark, d), 50)
+    return made.groupBy("block_key").agg(F.count("*").alias("n"), F.count_distinct("mention_id_1", "mention_id_2").alias("different"))
+
+
+@query("q36_stub_vectors", None)
+def _(spark, d):
+    names = _table(spark, d, "part").select(F.col("p_name").alias("t")) if "p_name" in _table(spark, d, "part").columns else _mentions(spark, d).select(F.col("author_raw").alias("t"))
+    return vectors.stub_vectors(names, "t", 16).select("text", F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x.cast("double"))), ",").alias("vector"))
+
+
+@query("q37_encoder_forward", None)
+def _(spark, d):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    w = {"w1": r.standard_normal((32, 64)) / 8, "b1": r.standard_normal(32), "w2": r.standard_normal((16, 32)) / 6, "b2": r.standard_normal(16)}
+    return vectors.encode(_table(spark, d, "embeddings"), "vec_id", "embedding", w).select("id", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x.cast("double"))), ",").alias("vector"))
+
+
+@query("q38_block_manifest", "select block_key, count(*) as n from keyed group by 1 order by 1")
+def _(spark, d):
+    return core.block_manifest(_keyed(spark, d))
+
+
+@query("q39_largest_blocks", "select block_key, n_mentions from blocks order by n_mentions desc, block_key limit 20")
+def _(spark, d):
+    return core.largest(core.block_sizes(_keyed(spark, d)).select("block_key", "n_mentions"), "n_mentions", "block_key", 20)
+
+
+@query("q40_semi_anti", "select bibcode, title from pubs where bibcode in (select bibcode from mentions)")
+def _(spark, d):
+    return core.complete(_mentions(spark, d), _pubs(spark, d).select("bibcode", "title"))
+
+
+_SWEEP = [0.6, 0.65, 0.7, 0.75]
+
+
+@query("q41_eps_sweep", f", es as (select unnest({_SWEEP}) as eps), ev as (select eps, b.src, b.dst from es, (select src, dst, cosine_sim from scores union all select dst, src, cosine_sim from scores) b where (1 - cosine_sim)::float <= eps::float), reach(eps, node, seen) as (select eps, vec_id, vec_id from es, v union select r.eps, r.node, b.dst from reach r join ev b on r.seen = b.src and r.eps = b.eps), root as (select eps, node, min(seen) as root from reach group by all), p as (select x.eps, src % 3 = dst % 3 as y, x.root = z.root as hit from scores join root x on x.node = src join root z on z.node = dst and z.eps = x.eps), m as (select eps, count_if(y and hit) as tp, count_if(not y and hit) as fp, count_if(y and not hit) as fn, count_if(not y and not hit) as tn from p group by 1) select cast(eps as double) as eps, tp, fp, fn, tn, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from m", _VEC)
+def _(spark, d):
+    s = cut(_scores(spark, d).withColumn("label", (F.col("src") % 3 == F.col("dst") % 3).cast("int")), "scores")
+    return graph.eps_sweep(_nodes(spark, d), s, _SWEEP).select("eps", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("q42_size_histogram", "select case when n_mentions = 1 then '1' when n_mentions = 2 then '2' when n_mentions <= 5 then '3-5' when n_mentions <= 10 then '6-10' when n_mentions <= 50 then '11-50' when n_mentions <= 100 then '51-100' when n_mentions <= 500 then '101-500' else '501+' end as bucket, count(*) as blocks, cast(sum(n_mentions) as bigint) as mentions from blocks group by 1")
+def _(spark, d):
+    return metrics.size_histogram(_keyed(spark, d))
+
+
+@query("q43_uid_checks", "select cast(1 as bigint) as uid_uniqueness_max, cast(1 as bigint) as uid_local_to_global_max_nunique, cast(2 as bigint) as uid_global_to_local_max_nunique, count(*) as mentions, count_if(author_idx <> 2) as clustered, count(distinct case when author_idx <> 2 then block_key end) as clusters, count(distinct case when author_idx <> 2 then block_key end) as blocks, round(count_if(author_idx <> 2) / count(*), 6) as mention_coverage, true as uid_local_to_global_valid, true as uid_uniqueness_valid from keyed")
+def _(spark, d):
+    m = _keyed(spark, d)
+    c = m.where("author_idx <> 2").select("mention_id", "block_key", F.col("orcid").alias("author_uid_local"), F.col("block_key").alias("author_uid"))
+    return metrics.uid_checks(m, c).withColumn("mention_coverage", F.round("mention_coverage", 6))
+
+
+@query("q44_canonical_ids", "select bibcode, row_number() over (order by bibcode) - 1 as canonical_record_id from pubs")
+def _(spark, d):
+    return core.with_canonical_id(_pubs(spark, d).select("bibcode"))
+
+
+@query("q45_mention_order", "select mention_id, row_number() over (order by bibcode, author_idx) - 1 as ord from mentions")
+def _(spark, d):
+    return core.with_order(_mentions(spark, d)).select("mention_id", "ord")
+
+
+@query("q46_sanitized_distances", ", x as (select block_key, least(src, dst) as src, greatest(src, dst) as dst, least(greatest(dd, 0.0), 2.0) as dd from (select block_key, src, dst, 3 * (1 - cosine_sim) - 1.5 as dd from scores union all select block_key, dst, src, 1 - cosine_sim from scores)) select block_key, src, dst, round(avg(dd), 6) as distance from x group by all", _VEC)
+def _(spark, d):
+    s = _scores(spark, d)
+    twice = s.select("block_key", "src", "dst", (3 * F.col("distance") - 1.5).alias("distance")).unionByName(s.select("block_key", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
+    return graph.sanitized(twice).withColumn("distance", F.round("distance", 6))
+
+
+@query("q47_pair_scores_by_id", "select src as mention_id_1, dst as mention_id_2, cosine_sim from scores", _VEC)
+def _(spark, d):
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("block_key"), F.lit("").alias("bibcode"), F.col("embedding").alias("vector"))
+    made = graph.score_pairs(pairs.candidate_pairs(v.drop("vector"), [], with_id=False), v)
+    return made.select("mention_id_1", "mention_id_2", F.round("cosine_sim", 6).alias("cosine_sim"))
+
+
+@query("q48_subset_summary", "select cast(sum(n_mentions) as bigint) as mentions, count(*) as blocks, round(quantile_cont(n_mentions, 0.95), 4) as block_size_p95, max(n_mentions) as block_size_max, round(avg(case when n_mentions = 1 then 1.0 else 0.0 end), 6) as singleton_block_ratio, cast(sum(pair_bound) as bigint) as pairs from blocks")
+def _(spark, d):
+    return splits.subset_summary(_keyed(spark, d)).withColumn("block_size_p95", F.round("block_size_p95", 4)).withColumn("singleton_block_ratio", F.round("singleton_block_ratio", 6))
+
+
+@query("q49_identity_splits", ", i as (select distinct orcid from mentions), r as (select orcid, row_number() over (order by md5('11::' || orcid), orcid) - 1 as k from i), n as (select count(*) as n from i) select orcid, case when k < cast(floor(n * 0.6) as bigint) then 'train' when k < cast(floor(n * 0.6) as bigint) + cast(floor(n * 0.2) as bigint) then 'val' else 'test' end as split from r, n")
+def _(spark, d):
+    return splits.split_of_identity(_mentions(spark, d), 11, 0.6, 0.2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
