@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ def ascii_fold(names: pd.Series) -> pd.Series:
     return names.map(lambda n: known.get(n))
 
 
+@lru_cache(maxsize=1 << 17)
 def plain_parts(name: str) -> tuple[str, str, str]:
     """(block key, given, surname) of a raw name: the rules of ``block_key`` and ``name_tokens`` on one string."""
     folded = fold(name)
@@ -51,8 +54,9 @@ def plain_parts(name: str) -> tuple[str, str, str]:
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("block_key", "given", "surname")]))
 def name_parts(names: pd.Series) -> pd.DataFrame:
     """struct(block_key, given, surname) of raw names, each different one of a batch worked out once; a null name's key is unknown."""
-    known = {n: plain_parts(n) for n in names.dropna().unique()}
-    return pd.DataFrame([known.get(n, ("unknown", "", "")) for n in names], columns=["block_key", "given", "surname"])
+    code, different = pd.factorize(names)
+    parts = np.array([*map(plain_parts, different), ("unknown", "", "")], dtype=object)
+    return pd.DataFrame(parts[code], columns=["block_key", "given", "surname"])
 
 
 def clean(token: Column) -> Column:

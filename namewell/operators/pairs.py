@@ -35,8 +35,8 @@ def candidate_pairs(mentions: DataFrame, keep: list[str], *, same_split: bool =
     """
     cols = list(dict.fromkeys(["mention_id", "block_key", "bibcode", order, *keep]))
     side = lambda df, n: df.select(*[F.col(c).alias(c if c in ("block_key", "_salt") else f"{c}_{n}") for c in df.columns])
-    given = mentions.select(*cols)
-    large = mentions.groupBy("block_key").agg(F.count("*").alias("n")).where(f"n > {salt_block}").select("block_key", F.ceil(F.col("n") / salt_block).cast("int").alias("_salts"))
+    given = cut(mentions.select(*cols), "mentions")  # read three times: once for the sizes, once a side
+    large = given.groupBy("block_key").agg(F.count("*").alias("n")).where(f"n > {salt_block}").select("block_key", F.ceil(F.col("n") / salt_block).cast("int").alias("_salts"))
     large = cut(large, "large")
     many = large.count()
     on = ["block_key"]

@@ -363,7 +363,7 @@ def _(spark, d):
 
 @query("q25_entities", f"{_ASSIGNED}, c as (select author_uid, author_raw, count(*) as n from a group by all), b as (select author_uid, arg_min(author_raw, (-n, author_raw)) as author_display_name, string_agg(author_raw, '|' order by n desc, author_raw) as aliases from c group by 1), s as (select author_uid, min(author_uid_local) as author_uid_local, count(*) as mention_count, count(distinct (source_type, source_row_idx)) as document_count, count(distinct canonical_mention_id) as unique_mention_count from a group by 1) select author_uid, author_uid_local, author_display_name, aliases, mention_count, document_count, unique_mention_count from b join s using (author_uid)")
 def _(spark, d):
-    return assign.entities(_assigned(spark, d)).withColumn("aliases", F.array_join("aliases", "|")).drop("display_name_method")
+    return assign.entities(cut(_assigned(spark, d), "assigned")).withColumn("aliases", F.array_join("aliases", "|")).drop("display_name_method")
 
 
 @query("q26_mirror", f"{_ASSIGNED}, l as (select source_row_idx, string_agg(author_uid, '|' order by author_idx) as u, string_agg(author_raw, '|' order by author_idx) as n from a where source_type = 'publication' group by 1) select k as source_row_idx, title, coalesce(u, '') as author_uids, coalesce(n, '') as author_names from pubs left join l on k = source_row_idx")
