@@ -14,6 +14,7 @@ in the alphabet wins; repeated rows count each; an empty table gives no row; oth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,34 +25,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, join_by_size, map_text
-from .textkernel import mix64, reduce_add, text_buffers
+from .textkernel import mix64, text_buffers
 from .url_filter import host_of
 
-BUCKETS, SAMPLE, SAMPLE_BYTES = 1 << 15, 400, 20_000
+BUCKETS, SAMPLE, SAMPLE_BYTES, CHUNK = 1 << 15, 400, 20_000, 1 << 18
 #: General labels that stand before a country's.
 SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu", "or", "ne", "go"]
 #: Reliability of a declaration; pseudo-counts of the smoothing; the most nats that a text's likelihoods may differ by.
 DECLARED, PSEUDO, MIN_POSTERIOR, TEMPER, UNKNOWN = 0.9, 8.0, 0.6, 40.0, 0.5
 
 
-def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter trigrams (of characters, not bytes) of lower-cased texts, digits, marks and white space being word ends, and their bounds."""
+def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, text) of the letter trigrams (of characters, not bytes) of lower-cased texts, digits, marks and white space being word ends.
+
+    CHUNK characters at a time, two more being read beside them, so that memory is bounded however long a text is.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.utf8_lower(texts)
     data, _ = text_buffers(texts)
     offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    letter = (points >= 128) | ((points >= 97) & (points <= 122))
-    b = np.where(letter, points, 32).astype(np.uint64)
-    if len(b) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    h = (b[:-2] << np.uint64(42)) | (b[1:-1] << np.uint64(21)) | b[2:]
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(h)]
-    inside = np.arange(len(h)) + 2 < offsets[doc + 1]
-    use = inside & letter[1:-1] & (letter[:-2] | letter[2:])
-    doc = doc[use]
-    return (mix64(h[use]) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(doc, np.arange(len(offsets)))
+    line = bytes(data).decode("utf-8")
+    for a in range(0, len(line) - 2, CHUNK):
+        points = np.frombuffer(line[a : a + CHUNK + 2].encode("utf-32-le"), np.uint32)
+        letter = (points >= 128) | ((points >= 97) & (points <= 122))
+        use = np.flatnonzero(letter[1:-1] & (letter[:-2] | letter[2:]))
+        doc = np.searchsorted(offsets, use + a, "right") - 1
+        inside = use + a + 2 < offsets[doc + 1]
+        use, doc = use[inside], doc[inside]
+        b = np.where(letter, points, np.uint32(32)).astype(np.uint64)
+        yield (mix64((b[use] << np.uint64(42)) | (b[use + 1] << np.uint64(21)) | b[use + 2]) % np.uint64(BUCKETS)).astype(np.int64), doc
 
 
 @dataclass
@@ -62,12 +65,15 @@ class Model:
 
     def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """([n, langs] tempered log likelihoods, trigram counts, share of unknown trigrams)."""
-        cells, bounds = _trigrams(texts)
-        n = np.diff(bounds)
-        sums = np.stack([reduce_add(self.table[:, j][cells].astype(np.float64), bounds) for j in range(len(self.langs))], axis=1)
+        rows = len(texts)
+        sums, n, unknown = np.zeros((rows, len(self.langs))), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        for cells, doc in _trigrams(texts):
+            for j in range(len(self.langs)):
+                sums[:, j] += np.bincount(doc, self.table[:, j][cells], rows)
+            n += np.bincount(doc, minlength=rows)
+            unknown += np.bincount(doc, ~self.known[cells], rows).astype(np.int64)
         sums -= sums.max(axis=1, keepdims=True)
-        strange = reduce_add((~self.known[cells]).astype(np.float64), bounds) / np.maximum(n, 1)
-        return np.maximum(sums, -TEMPER), n, strange
+        return np.maximum(sums, -TEMPER), n, unknown / np.maximum(n, 1)
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -75,8 +81,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     langs = sorted({y for _, y in rows})
     counts = np.zeros((len(langs), BUCKETS))
     for j, lang in enumerate(langs):
-        cells, _ = _trigrams(pa.array([t for t, y in rows if y == lang]))
-        counts[j] = np.bincount(cells, minlength=BUCKETS)
+        for cells, _ in _trigrams(pa.array([t for t, y in rows if y == lang])):
+            counts[j] += np.bincount(cells, minlength=BUCKETS)
     table = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
     return Model(langs, np.ascontiguousarray(table.T, np.float32), counts.sum(axis=0) > 0)
 
