@@ -140,6 +140,26 @@ def test_near_duplicates_of_planted_edits(spark):
     assert all(root // 2 == i // 2 for i, root in got.items())
 
 
+@pytest.mark.parametrize("shard", [3, 10, 1000])
+def test_links_of_a_shard_of_any_size(spark, shard):
+    """Nodes that share one band and no other minima: all that a chain of pairs within the radius joins, however large the shard is."""
+    r, radius = np.random.default_rng(7), near_dup.RADIUS * near_dup.WORDS
+    flip = lambda p, bits: p ^ np.packbits(np.isin(np.arange(256), r.choice(256, bits, replace=False))).view(np.uint64)
+    base = r.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    prints = [flip(base[i % 12], int(r.integers(0, 30))) for i in range(60)]
+    for _ in range(4):  # a chain that leads away from the first
+        prints.append(flip(prints[0 if len(prints) == 60 else -1], 45))
+    least = r.integers(-(1 << 31), 1 << 31, (len(prints), near_dup.MINIMA)).astype(np.int32)
+    least[:, :2] = 5
+    nodes = spark.createDataFrame([(i, p.tobytes() + m.tobytes()) for i, (p, m) in enumerate(zip(prints, least))], "x long, sketch binary")
+    label = list(range(len(prints)))
+    for _ in label:
+        for i, p in enumerate(prints):
+            label[i] = min(label[j] for j, q in enumerate(prints) if np.bitwise_count(p ^ q).sum() <= radius)
+    got = {a["node"]: a["root"] for a in near_dup.components(near_dup.links(nodes, radius, shard)).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == label and len(set(label)) == 12
+
+
 def test_bk_tree_is_exact():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
