@@ -52,6 +52,25 @@ def one_of_each_group(rows):
     return [r for i, r in enumerate(rows) if find(i) == i]  # rows come in the order of their ids
 
 
+def test_near_copies_of_large_shards(spark, monkeypatch):
+    """The stage keeps the same rows, those of plain Python, when shards are large for the bound on their size."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dup.groups, "__defaults__", ("doc_id", "text", near_dup.RADIUS, 2))
+    r = np.random.default_rng(9)
+    words = lambda n: [f"w{i}" for i in r.integers(0, 9000, n)]
+    rows = []
+    for i in range(12):  # versions that drift apart from the first, one after the other
+        text = words(150)
+        for j in range(10):
+            for k in r.integers(0, 150, 4):
+                text[k] = words(1)[0]
+            rows.append({"doc_id": 100 * i + j, "text": " ".join(text), "lang": "en", "source": "x", "n_chars": 1})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, DIR).collect()) == [r["doc_id"] for r in one_of_each_group(rows)]
+
+
 def test_run_equals_plain_python(spark):
     import corpus_pipeline
 
