@@ -71,6 +71,51 @@ def test_near_copies_of_large_shards(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in stage(spark, docs, DIR).collect()) == [r["doc_id"] for r in one_of_each_group(rows)]
 
 
+def test_near_copies_that_share_no_band(spark, monkeypatch):
+    """The stage joins all that a chain of pairs within the radius joins, whether or not they share a band, however the work is cut."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(150):  # a text and one with 17 of its 150 words changed, about as far apart as the radius
+        text = [f"w{k}" for k in r.integers(0, 9000, 150)]
+        rows.append({"doc_id": 2 * i, "text": " ".join(text), "lang": "en", "source": "x", "n_chars": 1})
+        for k in r.choice(150, 17, replace=False):
+            text[k] = f"v{k}"
+        rows.append({"doc_id": 2 * i + 1, "text": " ".join(text), "lang": "en", "source": "x", "n_chars": 1})
+    h, b = shingles(words_of(pa.array([x["text"] for x in rows])), near_dup.SIZE)
+    prints, bands = near_dup.wide_fingerprints(h, b), near_dup.minima(h, b).reshape(len(rows), near_dup.BANDS, -1)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= near_dup.RADIUS * near_dup.WORDS]
+    assert sum(not (bands[i] == bands[j]).all(1).any() for i, j in near) >= 2 and all(i == j + 1 and j % 2 == 0 for i, j in near)
+    want = sorted({x["doc_id"] for x in rows} - {i for i, _ in near})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(x["doc_id"] for x in stage(spark, docs, DIR).collect()) == want
+    monkeypatch.setattr(near_dup.links, "__defaults__", (near_dup.SHARD, 70))
+    assert sorted(x["doc_id"] for x in stage(spark, docs, DIR).collect()) == want
+
+
+def test_every_pair_is_met_once():
+    """Blocks of any size: each pair within the radius that shares no band, and no other, comes from one of its two nodes."""
+    r = np.random.default_rng(4)
+    base, radius = r.integers(0, 1 << 63, (6, near_dup.WORDS), dtype=np.uint64), near_dup.RADIUS * near_dup.WORDS
+    flip = lambda p, bits: p ^ np.packbits(np.isin(np.arange(256), r.choice(256, bits, replace=False))).view(np.uint64)
+    prints = np.stack([flip(base[i % 6], int(r.integers(0, 50))) for i in range(90)])
+    least = r.integers(0, 3, (90, near_dup.MINIMA)).astype(np.int32)
+    least[30:] = r.integers(0, 1 << 30, (60, near_dup.MINIMA))
+    x = np.sort(r.choice(1 << 35, 90, replace=False))
+    sketches = np.frombuffer(b"".join(p.tobytes() + m.tobytes() for p, m in zip(prints, least)), np.uint8).reshape(90, -1)
+    bands = least.reshape(90, near_dup.BANDS, -1)
+    want = [(int(x[i]), int(x[j])) for i in range(90) for j in range(i + 1, 90) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= radius and not (bands[i] == bands[j]).all(1).any()]
+    for size, step in ((90, 90), (7, 11), (1, 5)):
+        got = []
+        for k in range(0, 90, size):
+            block = near_dup.Block(x[k : k + size], sketches[k : k + size])
+            for m in range(0, 90, step):
+                got += [(min(p), max(p)) for a, b in block.meet(x[m : m + step], sketches[m : m + step], radius) for p in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == want and want
+
+
 def test_run_equals_plain_python(spark):
     import corpus_pipeline
 
