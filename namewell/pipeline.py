@@ -73,10 +73,9 @@ def scored_pairs(mentions: DataFrame, given: DataFrame, cap: int | None = None)
     """(block_key, mention_id_1, mention_id_2, src, dst, names, years, cosine_sim, distance) of all candidate pairs, of capped blocks those drawn."""
     keep = ["given", "surname", "year"]
     if cap is None:
-        made = pairs.candidate_pairs(mentions, keep, order="ord", with_id=False)
-    else:
-        side = lambda n: mentions.select(F.col("mention_id").alias(f"mention_id_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("bibcode", "ord", *keep)])
-        made = pairs.capped_pairs(mentions, cap, order="ord").join(side(1), "mention_id_1").join(side(2), "mention_id_2").where("bibcode_1 <> bibcode_2")
+        return graph.scored_candidates(mentions, given, keep, "ord").withColumnsRenamed({"ord_1": "src", "ord_2": "dst"})
+    side = lambda n: mentions.select(F.col("mention_id").alias(f"mention_id_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("bibcode", "ord", *keep)])
+    made = pairs.capped_pairs(mentions, cap, order="ord").join(side(1), "mention_id_1").join(side(2), "mention_id_2").where("bibcode_1 <> bibcode_2")
     return graph.score_pairs(made, given).withColumnsRenamed({"ord_1": "src", "ord_2": "dst"})
 
 
