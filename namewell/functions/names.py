@@ -6,8 +6,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -51,12 +52,29 @@ def plain_parts(name: str) -> tuple[str, str, str]:
     return f"{initial}.{surname}" if surname and initial else "unknown", bare(g), bare(s)
 
 
-@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("block_key", "given", "surname")]))
-def name_parts(names: pd.Series) -> pd.DataFrame:
-    """struct(block_key, given, surname) of raw names, each different one of a batch worked out once; a null name's key is unknown."""
-    code, different = pd.factorize(names)
-    parts = np.array([*map(plain_parts, different), ("unknown", "", "")], dtype=object)
-    return pd.DataFrame(parts[code], columns=["block_key", "given", "surname"])
+#: Folded names of the common shapes, whose words are plain: "surname, given ..." and "given surname", the surname too long for initials or a suffix.
+_SHAPES = [r"^(?P<s>[a-z0-9]+), *(?P<g>[a-z0-9]+)\.?(?: [a-z0-9]+\.?)*$", r"^(?P<g>[a-z0-9]+)\.? (?P<s>[a-z0-9]{4,})$"]
+
+
+def parts_of(names: pa.Array) -> pa.Array:
+    """struct(block_key, given, surname) of raw names, as ``plain_parts`` says: names of the common shapes by Arrow's kernels, only the others one by one; a null name's key is unknown."""
+    folded = pc.utf8_normalize(names.cast(pa.string()), form="NFKD")
+    folded = pc.ascii_trim_whitespace(pc.ascii_lower(pc.replace_substring_regex(folded, r"[^\x00-\x7F]+", "")))
+    found = [pc.extract_regex(folded, p) for p in _SHAPES]
+    g, s = (pc.coalesce(*[pc.struct_field(x, [c]) for x in found]) for c in ("g", "s"))
+    key = pc.binary_join_element_wise(pc.utf8_slice_codeunits(g, 0, 1), s, ".")
+    out = [key, g, s]
+    left = g.is_null()
+    if pc.any(left).as_py():
+        # names of other shapes
+        code = names.filter(left).dictionary_encode()
+        parts = [plain_parts(n) for n in code.dictionary.to_pylist()] + [("unknown", "", "")]
+        at = pc.fill_null(code.indices.cast(pa.int64()), len(parts) - 1)
+        out = [pc.replace_with_mask(x, left, pa.array([p[i] for p in parts], pa.string()).take(at)) for i, x in enumerate(out)]
+    return pa.StructArray.from_arrays(out, names=["block_key", "given", "surname"])
+
+
+name_parts = F.arrow_udf(parts_of, StructType([StructField(n, StringType()) for n in ("block_key", "given", "surname")]))
 
 
 def clean(token: Column) -> Column:
