@@ -36,19 +36,38 @@ def candidate_pairs(mentions: DataFrame, keep: list[str], *, same_split: bool =
     cols = list(dict.fromkeys(["mention_id", "block_key", "bibcode", order, *keep]))
     side = lambda df, n: df.select(*[F.col(c).alias(c if c in ("block_key", "_salt") else f"{c}_{n}") for c in df.columns])
     given = cut(mentions.select(*cols), "mentions")  # read three times: once for the sizes, once a side
+    if same_bibcode:
+        # the publication is part of the key: no other pair of the block is made
+        given = _of_shared(given)
+        out = side(given, 1).join(side(given, 2).withColumn("bibcode_1", F.col("bibcode_2")), ["block_key", "bibcode_1"]).where(F.col(f"{order}_1") < F.col(f"{order}_2"))
+        return _finished(out.where("bibcode_1 <> ''"), keep, same_split, mixed, labeled_only, with_id)
+    a, b, on = _salted(given, F.xxhash64("mention_id"), salt_block)
+    out = side(a, 1).join(side(b, 2), on).where(F.col(f"{order}_1") < F.col(f"{order}_2")).drop("_salt")
+    together = (F.col("bibcode_1") == F.col("bibcode_2")) & (F.col("bibcode_1") != "")
+    return _finished(out.where(~F.coalesce(together, F.lit(False))), keep, same_split, mixed, labeled_only, with_id)
+
+
+def _salted(given: DataFrame, digest: Column, salt_block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of each block with itself, and its keys: the left side of a block of more than ``salt_block`` rows goes to several tasks, its right side to each of them."""
     large = given.groupBy("block_key").agg(F.count("*").alias("n")).where(f"n > {salt_block}").select("block_key", F.ceil(F.col("n") / salt_block).cast("int").alias("_salts"))
     large = cut(large, "large")
     many = large.count()
-    on = ["block_key"]
-    a = b = given
-    if many:
-        salts = given.join(few(large, many), "block_key", "left")
-        a = salts.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("mention_id"), F.col("_salts")).cast("int"))).drop("_salts")
-        b = salts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        on = ["block_key", "_salt"]
-    out = side(a, 1).join(side(b, 2), on).where(F.col(f"{order}_1") < F.col(f"{order}_2")).drop("_salt")
-    together = (F.col("bibcode_1") == F.col("bibcode_2")) & (F.col("bibcode_1") != "")
-    out = out.where(F.coalesce(together, F.lit(False)) if same_bibcode else ~F.coalesce(together, F.lit(False)))
+    if not many:
+        return given, given, ["block_key"]
+    salts = given.join(few(large, many), "block_key", "left")
+    a = salts.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(digest, F.col("_salts")).cast("int"))).drop("_salts")
+    b = salts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return a, b, ["block_key", "_salt"]
+
+
+def _of_shared(given: DataFrame) -> DataFrame:
+    """Rows of publications with two mentions of a block at least, mostly few."""
+    shared = cut(given.where("bibcode <> ''").groupBy("block_key", "bibcode").agg(F.count("*").alias("n")).where("n > 1").select("block_key", "bibcode"), "shared")
+    return given.join(few(shared, shared.count()), ["block_key", "bibcode"], "left_semi")
+
+
+def _finished(out: DataFrame, keep: list[str], same_split: bool, mixed: bool, labeled_only: bool, with_id: bool) -> DataFrame:
+    """Pairs with what is said of their splits and labels."""
     if same_split:
         out = out.where("split_1 = split_2")
     if mixed:
@@ -60,6 +79,28 @@ def candidate_pairs(mentions: DataFrame, keep: list[str], *, same_split: bool =
     return out.withColumn("pair_id", pair_id(F.col("mention_id_1"), F.col("mention_id_2"))) if with_id else out
 
 
+def pair_counts(mentions: DataFrame, keep: list[str], salt_block: int = SALT_BLOCK) -> DataFrame:
+    """(block_key, keep_1..., keep_2..., n): how many candidate pairs of a block hold each two sets of values, whichever comes first.  No pair is made.
+
+    Mentions of equal values are one cell.  Two cells make as many pairs as the product of their sizes, one makes those of its own
+    mentions; the pairs of one publication are counted in the same way, inside it, and taken off.
+    """
+    given = cut(mentions.where("block_key is not null").select("block_key", "bibcode", F.struct(*[F.col(c) for c in keep]).alias("v")), "mentions")  # read three times
+    cells = cut(given.groupBy("block_key", "v").agg(F.count("*").alias("n")), "cells")
+    one = _of_shared(given).groupBy("block_key", "bibcode", "v").agg(F.count("*").alias("n"))
+    one = cut(one, "own")
+    side = lambda df, k: df.withColumnsRenamed({"v": f"v{k}", "n": f"n{k}"})
+
+    def met(left: DataFrame, right: DataFrame, by: list[str], sign: int) -> DataFrame:
+        n = F.expr("case when v1 <=> v2 then n1 * (n1 - 1) div 2 else n1 * n2 end")
+        return side(left, 1).join(side(right, 2), by).where("v1 <= v2").select("block_key", "v1", "v2", (sign * n).alias("n"))
+
+    a, b, by = _salted(cells, F.xxhash64("v"), salt_block)
+    every = met(a, b, by, 1).unionByName(met(one, one, ["block_key", "bibcode"], -1).where("n < 0"))
+    left = every.groupBy("block_key", "v1", "v2").agg(F.sum("n").alias("n")).where("n > 0")
+    return left.select("block_key", *[F.col(f"v{k}.{c}").alias(f"{c}_{k}") for k in (1, 2) for c in keep], "n")
+
+
 def pair_count(n: int) -> int:
     return n * (n - 1) // 2
 
@@ -98,8 +139,9 @@ def capped_pairs(mentions: DataFrame, cap: int, seed: int = 11, order: str = "me
     drawn = sizes.where(over).select("block_key", "n").mapInPandas(draw, "block_key string, i long, j long")
     hot = placed.where(over)
     side = lambda df, n, p: df.select(F.col("block_key"), F.col("place").alias(p), F.col("mention_id").alias(f"mention_id_{n}"))
-    few_pairs = side(placed.where(~over), 1, "i").join(side(placed.where(~over), 2, "j"), "block_key").where("i < j")
-    some = drawn.join(side(hot, 1, "i"), ["block_key", "i"]).join(side(hot, 2, "j"), ["block_key", "j"])
+    few_pairs = side(placed.where(~over), 1, "i").hint("shuffle_merge").join(side(placed.where(~over), 2, "j"), "block_key").where("i < j")
+    # ``cap`` rows a block, of which the planner sees one
+    some = drawn.hint("shuffle_merge").join(side(hot, 1, "i"), ["block_key", "i"]).hint("shuffle_merge").join(side(hot, 2, "j"), ["block_key", "j"])
     return few_pairs.select("block_key", "mention_id_1", "mention_id_2").unionByName(some.select("block_key", "mention_id_1", "mention_id_2"))
 
 

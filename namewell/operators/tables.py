@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_BYTES = 64 << 20
+#: A broadcast table takes some times its bytes on the driver.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def few(df: DataFrame, rows: int, width: int = 100) -> DataFrame:
-    """``df`` marked for broadcast where its counted ``rows`` of about ``width`` bytes are few."""
-    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+    """``df`` marked for broadcast where its counted ``rows`` of about ``width`` bytes are few, else marked for a shuffle: files are small beside the rows that they hold."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 def ranked(df: DataFrame, keys: list[str], into: str = "ord") -> DataFrame:

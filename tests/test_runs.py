@@ -33,6 +33,30 @@ def test_pairs_against_loops(spark, salt):
     assert pairs.candidate_pairs(m, ["orcid"], labeled_only=True, salt_block=salt).count() == sum(x is not None for x in want.values())
 
 
+@pytest.mark.parametrize("salt", [4000, 2])
+def test_pair_counts_make_no_pair(spark, salt):
+    """What is said of pairs by their mentions' values is counted without them, and is the same."""
+    m = people(spark).withColumn("split", F.expr("case when orcid <> '' then substr(orcid, 2, 1) end"))
+    m = m.unionByName(m.limit(9).withColumn("bibcode", F.lit("")).withColumn("mention_id", F.concat(F.lit("x"), "mention_id")))
+    made = pairs.pair_counts(m, ["split"], salt_block=salt)
+    key = lambda r: (r["block_key"], *sorted((r["split_1"], r["split_2"]), key=str))
+    want: dict = {}
+    for r in pairs.candidate_pairs(m, ["split"], with_id=False).collect():
+        want[key(r)] = want.get(key(r), 0) + 1
+    rows = made.collect()
+    assert {key(r): r["n"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_pairs_of_one_publication_meet_in_it(spark):
+    m = people(spark, blocks=1)
+    rows = sorted(m.collect())
+    made = pairs.candidate_pairs(m, [], same_bibcode=True)
+    want = {f"{a['mention_id']}__{b['mention_id']}" for a, b in itertools.combinations(rows, 2) if a["block_key"] == b["block_key"] and a["bibcode"] == b["bibcode"]}
+    assert {r["pair_id"] for r in made.collect()} == want != set()
+    join = next(x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x)
+    assert "bibcode" in join.split("Inner")[0]
+
+
 def test_pair_ranks():
     for n in (2, 3, 7, 40):
         i, j = pairs.pair_at(np.arange(pairs.pair_count(n)), n)
@@ -53,6 +77,18 @@ def test_capped_pairs(spark):
         assert sorted((block, *every[k]) for k in ranks) == [r for r in rows if r[0] == block]
 
 
+def test_capped_pairs_are_not_broadcast(spark, monkeypatch):
+    """Neither the blocks, where they are many, nor their drawn pairs go through the driver, however small the planner takes them for."""
+    m = people(spark, 80, 3)
+    want = sorted(map(tuple, pairs.capped_pairs(m, 40).collect()))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 100)
+    made = pairs.capped_pairs(m, 40)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # the one left is of a number a partition
+    assert plan.count("SortMergeJoin") == 7 and all("_part" in x for x in plan.split("\n") if "BroadcastHashJoin" in x), plan
+    assert sorted(map(tuple, made.collect())) == want
+
+
 def test_balance_and_shards(spark, tmp_path):
     df = spark.createDataFrame([(f"x{i}", 1 if i % 5 else 0) for i in range(100)] + [("n", None)], "pair_id string, label int")
     assert {r["label"]: r["count"] for r in pairs.balance(df).groupBy("label").count().collect()} == {0: 20, 1: 20}
