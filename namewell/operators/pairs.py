@@ -14,6 +14,8 @@ from namewell.operators.tables import cut, few, rank_groups, ranked
 
 #: Mentions of a block beyond which its pairs are spread over several tasks.
 SALT_BLOCK = 4000
+#: Tasks that draw pairs of capped blocks; a file of block sizes is small beside what they draw.
+DRAWERS = 64
 
 
 def pair_label(o1: Column, o2: Column) -> Column:
@@ -130,13 +132,16 @@ def capped_pairs(mentions: DataFrame, cap: int, seed: int = 11, order: str = "me
     placed = at.join(few(sizes, sizes.count()), "block_key").select("block_key", "mention_id", (F.col("_r") - F.col("first")).alias("place"), "n")
     over = F.col("n") * (F.col("n") - 1) / 2 > cap
 
+    step = max(1, (1 << 16) // max(1, cap))  # blocks whose pairs are given at once: a frame a block costs more than its pairs
+
     def draw(batches):
         for b in batches:
-            for block, n in zip(b["block_key"], b["n"]):
-                i, j = pair_at(np.sort(np.random.default_rng(block_seed(seed, block)).choice(pair_count(n), size=cap, replace=False)), n)
-                yield pd.DataFrame({"block_key": block, "i": i, "j": j})
+            for k in range(0, len(b), step):
+                part = b.iloc[k : k + step]
+                made = [pair_at(np.sort(np.random.default_rng(block_seed(seed, block)).choice(pair_count(n), size=cap, replace=False)), n) for block, n in zip(part["block_key"], part["n"])]
+                yield pd.DataFrame({"block_key": np.repeat(part["block_key"].to_numpy(), cap), "i": np.concatenate([i for i, _ in made]), "j": np.concatenate([j for _, j in made])})
 
-    drawn = sizes.where(over).select("block_key", "n").mapInPandas(draw, "block_key string, i long, j long")
+    drawn = sizes.where(over).select("block_key", "n").repartition(DRAWERS, "block_key").mapInPandas(draw, "block_key string, i long, j long")
     hot = placed.where(over)
     side = lambda df, n, p: df.select(F.col("block_key"), F.col("place").alias(p), F.col("mention_id").alias(f"mention_id_{n}"))
     few_pairs = side(placed.where(~over), 1, "i").hint("shuffle_merge").join(side(placed.where(~over), 2, "j"), "block_key").where("i < j")
